@@ -53,6 +53,7 @@ class MonoidBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self._merged: dict[bytes, tuple[bytes, ...]] = {}
+        self._trees: dict[bytes, list[bytes]] = {}
 
     # -- the plain merge loop, used on windows only --------------------------------------
     def merge(self, data: bytes) -> tuple[bytes, ...]:
@@ -110,25 +111,32 @@ class MonoidBpe:
         return len(m := self.merge(a + b)) == 2 and m[0] == a
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
-        if not left or not right:
-            return left or right
+        """Pairs within ``left`` and within ``right`` are stable already, so only new pairs are asked."""
         i = j = 1
         while True:
-            window = self.merge(b"".join(left[-i:]) + b"".join(right[:j]))
-            fits_left = i == len(left) or self.stable(left[-i - 1], window[0])
-            fits_right = j == len(right) or self.stable(window[-1], right[j])
+            window = self.merge(b"".join((*left[-i:], *right[:j])))
+            fits_left = i == len(left) or window[0] == left[-i] or self.stable(left[-i - 1], window[0])
+            fits_right = j == len(right) or window[-1] == right[j - 1] or self.stable(window[-1], right[j])
             if fits_left and fits_right:
-                return left[:-i] + list(window) + right[j:]
+                return [*left[:-i], *window, *right[j:]]
             if not fits_left:
                 i = min(len(left), i + max(1, i // 2))
             if not fits_right:
                 j = min(len(right), j + max(1, j // 2))
 
     def tree(self, data: bytes) -> list[bytes]:
-        if len(data) <= 1 or (data in self.ranks and len(self.merge(data)) == 1):
-            return [data] if data else []
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        found = self._trees.get(data)
+        if found is None:
+            if len(data) <= 1 or (data in self.ranks and len(self.merge(data)) == 1):
+                found = [data]
+            else:
+                half = len(data) // 2
+                found = self.join(self.tree(data[:half]), self.tree(data[half:]))
+            if len(data) <= 8:
+                if len(self._trees) >= CACHE:
+                    self._trees.clear()
+                self._trees[data] = found
+        return found
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
