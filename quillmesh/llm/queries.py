@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, line_dedup, mixing
 from .base import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,9 +24,32 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("new_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, p.place AS place, p.line AS line, translate(trim(p.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'place': i, 'line': x})) AS p FROM documents)
+), firsts AS (
+  SELECT key, min(doc_id) AS first_doc FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT l.doc_id, l.place, l.line, f.first_doc IS NOT NULL AND f.first_doc <> l.doc_id AS dropped FROM lines l LEFT JOIN firsts f ON l.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_byte_bpe": op9_byte_bpe}
+    return {"op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
