@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing
+from . import bpe, line_dedup, mixing, simhash
 from .base import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
     return bpe.decode(ids, VOCABULARY).select(
@@ -48,7 +53,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op9_byte_bpe": op9_byte_bpe}
+    return {"op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
