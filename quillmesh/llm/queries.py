@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_dedup, mixing, simhash, topk, toxicity
+from . import bpe, chat, language, line_dedup, mixing, pii, simhash, topk, toxicity
 from .base import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,6 +60,53 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    made = chat.format_pairs(turns.withColumnRenamed("conv_id", "pair_id"), chat.swapped_replies(turns))
+    text = lambda m: F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["length"], x["learn"])), ",")
+    return made.select("pair_id", "prompt_turns", "prompt", "chosen", text("chosen_mask").alias("chosen_mask"), "rejected", text("rejected_mask").alias("rejected_mask"), "usable")
+
+
+OP2_SQL = r"""
+WITH last AS (
+  SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS n FROM conversations WHERE role = 'assistant') WHERE n = 1
+), sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM conversations
+  UNION ALL
+  SELECT c.conv_id, 1, c.turn, c.role, CASE WHEN l.turn IS NOT NULL THEN o.text ELSE c.text END
+  FROM conversations c LEFT JOIN last l ON l.conv_id = c.conv_id AND l.turn = c.turn AND c.role = 'assistant' LEFT JOIN last o ON o.conv_id = c.conv_id + 1
+  WHERE l.turn IS NULL OR o.turn IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS k, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS learn FROM sides
+), met AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.k, r.k) AS k, c.shown IS NOT DISTINCT FROM r.shown AS same
+  FROM (SELECT * FROM placed WHERE side = 0) c FULL JOIN (SELECT * FROM placed WHERE side = 1) r ON c.pair_id = r.pair_id AND c.k = r.k
+), prefix AS (
+  SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, max(k)) AS n FROM met GROUP BY pair_id
+)
+SELECT p.pair_id, p.n AS prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k <= n), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k > n), '') AS chosen,
+  coalesce(string_agg(length(shown) || ':' || learn, ',' ORDER BY k) FILTER (side = 0 AND k > n), '') AS chosen_mask,
+  coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 1 AND k > n), '') AS rejected,
+  coalesce(string_agg(length(shown) || ':' || learn, ',' ORDER BY k) FILTER (side = 1 AND k > n), '') AS rejected_mask,
+  coalesce(bool_or(learn = 1) FILTER (side = 0 AND k > n), false) AND coalesce(bool_or(learn = 1) FILTER (side = 1 AND k > n), false) AS usable
+FROM prefix p JOIN placed x ON x.pair_id = p.pair_id GROUP BY p.pair_id, p.n
+"""
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    seeds = F.filter("spans", lambda x: x["seed"])
+    text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(seeds, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(seeds), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -82,8 +129,8 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_byte_bpe": op9_byte_bpe, "op10_topk": op10_topk}
+    return {"op2_chat_preferences": op2_chat_preferences, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_byte_bpe": op9_byte_bpe, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op10_topk": OP10_SQL}
+    return {"op2_chat_preferences": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_topk": OP10_SQL}
