@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, line_dedup, mixing, pii, simhash, topk, toxicity
+from . import bpe, chat, language, line_dedup, mixing, perplexity, pii, simhash, topk, toxicity
 from .base import crc_mod, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,6 +60,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perplexity.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
 def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     made = chat.format_pairs(turns.withColumnRenamed("conv_id", "pair_id"), chat.swapped_replies(turns))
@@ -129,7 +134,7 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_preferences": op2_chat_preferences, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_byte_bpe": op9_byte_bpe, "op10_topk": op10_topk}
+    return {"op1_perplexity": op1_perplexity, "op2_chat_preferences": op2_chat_preferences, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op9_byte_bpe": op9_byte_bpe, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
