@@ -85,8 +85,8 @@ def dense_threshold_cosine(spark, d):
     return search.dense(read(spark, d, "embeddings"), query_vectors(spark, d), 20, text.cosine, 0.3)
 
 
-SYMBOL_QUERIES = [(1, "where is the green BRASS part"), (2, "PolishedTin of metallic"), (3, "show the part 12"), (4, "is the of"), (5, "goldAndSilver economy part_1")]
-SYMBOL_NAMES = [(1, "part 7"), (2, "Part 1"), (3, "no such part"), (4, "PART 20")]
+SYMBOL_QUERIES = [(1, "where is the red ECONOMY widget"), (2, "smallRing of steel"), (3, "show the blue_bolt class"), (4, "is the of"), (5, "hotGear")]
+SYMBOL_NAMES = [(1, "small ring"), (2, "RING"), (3, "no such part"), (4, "Blue B")]
 values = lambda xs: ", ".join("(" + ", ".join("NULL" if x is None else str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in xs)
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in sorted(rules.STOPWORDS)) + "]"
 CAMEL_SQL = r"regexp_replace(regexp_replace({c}, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')"
@@ -98,8 +98,8 @@ def symbols(spark, d):
 
 
 SYMBOL_CTE = rf"""
-asked AS (SELECT query_id, list_filter(list_distinct(list_filter(regexp_extract_all(lower({CAMEL_SQL.format(c="query")}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3)), lambda t: NOT list_contains({STOP_SQL}, t)) AS tokens FROM sq),
-sscore AS (SELECT query_id, chunk_id, symbol, CAST(len(list_filter(tokens, lambda t: contains(lower(symbol), t))) AS BIGINT) AS score FROM s, asked),
+wanted AS (SELECT query_id, list_filter(list_distinct(list_filter(regexp_extract_all(lower({CAMEL_SQL.format(c="query")}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3)), lambda t: NOT list_contains({STOP_SQL}, t)) AS tokens FROM sq),
+sscore AS (SELECT query_id, chunk_id, symbol, CAST(len(list_filter(tokens, lambda t: contains(lower(symbol), t))) AS BIGINT) AS score FROM s, wanted),
 smatch AS (SELECT query_id, chunk_id, symbol, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(symbol), chunk_id) AS rank FROM sscore WHERE score > 0)
 """
 
@@ -113,7 +113,6 @@ def symbol_match(spark, d):
 t AS (SELECT query_id, 'part:' || p_partkey AS chunk_id, p_name AS symbol, CASE WHEN p_name = name THEN 0 WHEN ends_with(lower(p_name), '.' || lower(name)) THEN 1 WHEN contains(lower(p_name), lower(name)) THEN 2 END AS tier FROM part, asked)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, length(symbol), chunk_id) AS rank, chunk_id, symbol, tier FROM t WHERE tier IS NOT NULL) WHERE rank <= 5""")
 def symbol_lookup(spark, d):
-    named = symbols(spark, d).withColumn("symbol", F.lit(None))
     named = read(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("chunk_id"), F.col("p_name").alias("symbol"))
     return search.symbol_lookup(named, rows(spark, SYMBOL_NAMES, "query_id int, name string"))
 
@@ -353,3 +352,390 @@ def ast_chunks(spark, d):
 def dispatched_chunks(spark, d):
     files = rows(spark, [("a.feature", "gherkin", FEATURE), ("m.py", "python", SOURCE), ("r.md", "markdown", "intro\n# One\ntext\n## Two\nmore"), ("t.txt", None, "just some plain text, long enough"), ("blank.md", "markdown", " \n ")], "rel_path string, language string, content string")
     return C.dispatch(files).select("rel_path", "kind", "symbol", "start_line", "end_line", "chunk_id")
+
+
+# -- graph -------------------------------------------------------------------------------------
+GRAPH_SQL = """
+np AS (SELECT count(*) AS n FROM part),
+nodes AS (
+  SELECT 'region:' || r_regionkey AS node_id, r_name AS label, 'geo/region.txt' AS source_file, r_regionkey AS line, r_regionkey AS community_id, r_name AS community_label FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'geo/nation.txt', n_nationkey, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'tests/supplier_' || s_suppkey % 10 || '.txt', CAST(s_suppkey // 10 AS INT), n_regionkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'part:' || p_partkey, p_name || '.' || p_type || '.k' || p_partkey, 'src/part_' || p_partkey % 50 || '.txt', CAST(p_partkey // 50 AS INT), CAST(p_partkey % 5 AS INT), r_name FROM part JOIN region ON p_partkey % 5 = r_regionkey
+),
+edges AS (
+  SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'located_in' AS relation, 'EXTRACTED' AS confidence, 1.0::DOUBLE AS confidence_score FROM nation
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'located_in', 'EXTRACTED', 1.0 FROM supplier
+  UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey * f) % n + 1, 'calls', CASE WHEN p_partkey % 5 = 0 THEN 'INFERRED' ELSE 'EXTRACTED' END, 0.5 FROM part, np, (VALUES (7), (11)) AS g(f)
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'part:' || (s_suppkey * 13) % n + 1, 'rationale_for', 'EXTRACTED', CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey % 10 AS DOUBLE) / 10 END FROM supplier, np
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'part:' || (s_suppkey % 20) + 1, 'tests', 'EXTRACTED', 1.0 FROM supplier
+)"""
+
+
+def code_graph(spark, d):
+    """Nodes and edges of a property graph made of the star schema."""
+    t = {n: read(spark, d, n) for n in ("region", "nation", "supplier", "part")}
+    for n, df in t.items():
+        df.createOrReplaceTempView(f"graph_{n}")
+    n_parts = t["part"].count()
+    region = t["region"].select("r_regionkey", "r_name")
+    node = lambda df, kind, key, label, file, line, cid: df.select(F.concat(F.lit(f"{kind}:"), key).alias("node_id"), label.alias("label"), file.alias("source_file"), line.cast("int").alias("line"), cid.cast("int").alias("community_id"), F.col("r_name").alias("community_label"))
+    nation = t["nation"].join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    supplier = t["supplier"].join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    part = t["part"].withColumn("n_regionkey", F.col("p_partkey") % 5).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    div = lambda c, k: F.expr(f"{c} div {k}")
+    nodes = node(region, "region", "r_regionkey", F.col("r_name"), F.lit("geo/region.txt"), F.col("r_regionkey"), F.col("r_regionkey"))
+    nodes = nodes.unionByName(node(nation, "nation", "n_nationkey", F.col("n_name"), F.lit("geo/nation.txt"), F.col("n_nationkey"), F.col("n_regionkey")))
+    nodes = nodes.unionByName(node(supplier, "supplier", "s_suppkey", F.col("s_name"), F.concat(F.lit("tests/supplier_"), F.col("s_suppkey") % 10, F.lit(".txt")), div("s_suppkey", 10), F.col("n_regionkey")))
+    nodes = nodes.unionByName(node(part, "part", "p_partkey", F.concat(F.concat_ws(".", "p_name", "p_type"), F.lit(".k"), "p_partkey"), F.concat(F.lit("src/part_"), F.col("p_partkey") % 50, F.lit(".txt")), div("p_partkey", 50), F.col("n_regionkey")))
+    edge = lambda df, s, to, rel, conf, score: df.select(s.alias("source"), to.alias("target"), F.lit(rel).alias("relation"), conf.alias("confidence"), score.cast("double").alias("confidence_score"))
+    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    sure, one = F.lit("EXTRACTED"), F.lit(1.0)
+    edges = edge(t["nation"], named("nation", F.col("n_nationkey")), named("region", F.col("n_regionkey")), "located_in", sure, one)
+    edges = edges.unionByName(edge(t["supplier"], named("supplier", F.col("s_suppkey")), named("nation", F.col("s_nationkey")), "located_in", sure, one))
+    calls = t["part"].withColumn("f", F.explode(F.array(F.lit(7), F.lit(11))))
+    edges = edges.unionByName(edge(calls, named("part", F.col("p_partkey")), named("part", F.col("p_partkey") * F.col("f") % n_parts + 1), "calls", F.when(F.col("p_partkey") % 5 == 0, "INFERRED").otherwise("EXTRACTED"), F.lit(0.5)))
+    edges = edges.unionByName(edge(t["supplier"], named("supplier", F.col("s_suppkey")), named("part", F.col("s_suppkey") * 13 % n_parts + 1), "rationale_for", sure, F.when(F.col("s_suppkey") % 4 != 0, (F.col("s_suppkey") % 10).cast("double") / 10)))
+    edges = edges.unionByName(edge(t["supplier"], named("supplier", F.col("s_suppkey")), named("part", F.col("s_suppkey") % 20 + 1), "tests", sure, one))
+    return nodes, edges
+
+
+STARTS = [(1, "part:3"), (2, "part:10"), (3, "part:21")]
+STARTS_SQL = f"starts(query_id, node_id) AS (VALUES {values(STARTS)})"
+
+
+def starts(spark):
+    return rows(spark, STARTS, "query_id int, node_id string")
+
+
+NAMES = [(1, "EUROPE"), (2, "k7"), (3, "ring"), (4, "nothing at all"), (5, "europe")]
+
+
+@query(f"""WITH {GRAPH_SQL}, asked(query_id, name) AS (VALUES {values(NAMES)}),
+t AS (SELECT query_id, node_id, label, CASE WHEN label = name THEN 0 WHEN ends_with(lower(label), '.' || lower(name)) THEN 1 WHEN contains(lower(label), lower(name)) THEN 2 END AS tier FROM nodes, asked)
+SELECT query_id, node_id, label, tier FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 1 THEN -length(label) ELSE length(label) END, node_id) AS n FROM t WHERE tier IS NOT NULL) WHERE n = 1""")
+def graph_resolve(spark, d):
+    return graph.resolve(code_graph(spark, d)[0], rows(spark, NAMES, "query_id int, name string"))
+
+
+SPANS_SQL = "spans AS (SELECT f.source_file AS rel_path, f.source_file || '#' || k.k AS chunk_id, k.k * 4 AS start_line, k.k * 4 + 3 + 5 * (k.k % 2) AS end_line, 'span' AS kind, NULL AS symbol FROM (SELECT DISTINCT source_file FROM nodes) f, (VALUES (1), (2), (3), (4)) AS k(k))"
+
+
+def spans(spark, nodes):
+    k = F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))
+    return nodes.select("source_file").distinct().withColumn("k", k).select(F.col("source_file").alias("rel_path"), F.concat_ws("#", "source_file", "k").alias("chunk_id"), (F.col("k") * 4).alias("start_line"), (F.col("k") * 4 + 3 + 5 * (F.col("k") % 2)).alias("end_line"))
+
+
+@query(f"""WITH {GRAPH_SQL}, {SPANS_SQL}, p AS (SELECT node_id, chunk_id, CASE WHEN line BETWEEN start_line AND end_line THEN 0 ELSE 1 END AS outside, CASE WHEN line BETWEEN start_line AND end_line THEN end_line - start_line ELSE start_line END AS span FROM nodes JOIN spans ON source_file = rel_path)
+SELECT node_id, chunk_id, outside = 0 AS exact FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY outside, span, chunk_id) AS n FROM p) WHERE n = 1""")
+def graph_hydrate(spark, d):
+    nodes, _ = code_graph(spark, d)
+    return graph.hydrate(nodes, spans(spark, nodes))
+
+
+NEAR_SQL = "near AS (SELECT chunk_id, node_id, label, community_label, outside FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY outside, far, node_id) AS n FROM (SELECT chunk_id, node_id, label, community_label, CASE WHEN line BETWEEN start_line AND end_line THEN 0 ELSE 1 END AS outside, abs(line - start_line) AS far FROM spans JOIN nodes ON source_file = rel_path)) WHERE n = 1)"
+
+
+@query(f"WITH {GRAPH_SQL}, {SPANS_SQL}, {NEAR_SQL} SELECT s.chunk_id, '# community: ' || community_label || chr(10) || '# node: ' || label || chr(10) || s.chunk_id AS embedding_text FROM spans s JOIN near USING (chunk_id)")
+def enrich_graph(spark, d):
+    nodes, _ = code_graph(spark, d)
+    own = spans(spark, nodes).select("*", F.lit(None).cast("string").alias("parent_chunk_id"), F.lit("span").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.col("chunk_id").alias("content"))
+    return enrich.graph_aware(own, nodes).select("chunk_id", "embedding_text")
+
+
+@query(rf"""WITH {GRAPH_SQL}, {SPANS_SQL}, {NEAR_SQL} SELECT s.chunk_id, 'fixedText' || chr(10) || 'fixed Text' || chr(10) || regexp_replace({CAMEL_SQL.format(c="rel_path")}, '[/._\-]+', ' ', 'g') || CASE WHEN outside = 0 THEN chr(10) || 'community: ' || community_label || chr(10) || 'node: ' || label ELSE '' END AS document FROM spans s LEFT JOIN near USING (chunk_id)""")
+def fts_augment(spark, d):
+    nodes, _ = code_graph(spark, d)
+    own = spans(spark, nodes).select("*", F.lit("fixedText").alias("content"), F.lit(None).cast("string").alias("symbol"))
+    return enrich.augmented_documents(own, nodes)
+
+
+def reach_sql(step: str, depth: int, limit: int = 100) -> str:
+    return f"""WITH RECURSIVE {GRAPH_SQL}, {STARTS_SQL}, step AS ({step}),
+walk(query_id, node_id, depth) AS (SELECT query_id, node_id, 0 FROM starts UNION SELECT w.query_id, s.target, w.depth + 1 FROM walk w JOIN step s ON w.node_id = s.source WHERE w.depth < {depth}),
+best AS (SELECT query_id, node_id, min(depth) AS depth FROM walk GROUP BY ALL)
+SELECT query_id, rank, node_id, depth FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY depth, node_id) AS rank, node_id, depth FROM best WHERE depth > 0) WHERE rank <= {limit}"""
+
+
+CALLERS_STEP = "SELECT DISTINCT target AS source, source AS target FROM edges WHERE relation = 'calls' AND confidence = 'EXTRACTED'"
+RELATED_STEP = "SELECT source, target FROM edges WHERE confidence = 'EXTRACTED' UNION SELECT target, source FROM edges WHERE confidence = 'EXTRACTED'"
+
+
+def _callers(depth):
+    def run(spark, d):
+        return graph.callers(code_graph(spark, d)[1], starts(spark), depth)
+
+    run.__name__ = f"callers_depth{depth}"
+    return query(reach_sql(CALLERS_STEP, depth))(run)
+
+
+for _depth in (1, 2, 3):
+    _callers(_depth)
+
+
+@query(reach_sql(RELATED_STEP, 2))
+def related_depth2(spark, d):
+    return graph.related(code_graph(spark, d)[1], starts(spark), 2)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT *, count(*) OVER (PARTITION BY query_id) AS size FROM (SELECT community_id AS query_id, row_number() OVER (PARTITION BY community_id ORDER BY label, node_id) AS rank, node_id, label FROM nodes WHERE community_id IN (1, 3)) WHERE rank <= 40")
+def community(spark, d):
+    return graph.community(code_graph(spark, d)[0], rows(spark, [(1, 1), (3, 3)], "query_id int, community_id int"), 40)
+
+
+@query(f"WITH {GRAPH_SQL}, {STARTS_SQL} SELECT s.query_id, row_number() OVER (PARTITION BY s.query_id ORDER BY coalesce(confidence_score, 0) DESC, e.source) AS rank, e.source AS node_id, label, coalesce(confidence_score, 0) AS score FROM edges e JOIN starts s ON e.target = s.node_id JOIN nodes n ON n.node_id = e.source WHERE relation = 'rationale_for'")
+def rationale(spark, d):
+    nodes, edges = code_graph(spark, d)
+    return graph.rationale(edges, nodes, starts(spark))
+
+
+TEST_PATH_SQL = "(" + " OR ".join(f"contains(lower(source_file), '{p}')" for p in rules.NODE_TEST_PATHS) + ")"
+
+
+@query(f"WITH {GRAPH_SQL}, {STARTS_SQL}, f AS (SELECT DISTINCT query_id, source FROM edges JOIN starts ON target = node_id WHERE confidence = 'EXTRACTED' AND relation IN ('calls', 'references', 'implements', 'tests')) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY label, node_id) AS rank, node_id, label, source_file FROM f JOIN nodes ON source = node_id WHERE {TEST_PATH_SQL}) WHERE rank <= 20")
+def tests_for(spark, d):
+    nodes, edges = code_graph(spark, d)
+    return graph.tests_for(edges, nodes, starts(spark))
+
+
+FEATURES = [(1, "red gear economy"), (2, "a b"), (3, "EUROPE / asia")]
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, features(query_id, feature) AS (VALUES {values(FEATURES)}),
+asked AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(replace(feature, '/', ' ')), '\\s+'), lambda t: length(t) >= 3)) AS tokens FROM features),
+sc AS (SELECT query_id, node_id, len(list_filter(tokens, lambda t: contains(lower(label), t))) AS score FROM nodes, asked),
+entries AS (SELECT * FROM (SELECT query_id, node_id AS entry, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS entry_rank FROM sc WHERE score > 0) WHERE entry_rank <= 5),
+step AS (SELECT source, target FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) AS n FROM (SELECT DISTINCT source, target FROM edges WHERE relation = 'calls' AND confidence = 'EXTRACTED')) WHERE n <= 8),
+walk(query_id, entry, node_id, depth) AS (SELECT query_id, entry, entry, 0 FROM entries UNION SELECT query_id, entry, target, depth + 1 FROM walk JOIN step ON node_id = source WHERE depth < 4),
+best AS (SELECT query_id, entry, node_id, min(depth) AS depth FROM walk GROUP BY ALL)
+SELECT * FROM (SELECT query_id, entry, entry_rank, node_id, depth, row_number() OVER (PARTITION BY query_id, entry ORDER BY depth, node_id) AS step FROM best JOIN entries USING (query_id, entry)) WHERE step <= 30""")
+def trace_feature(spark, d):
+    nodes, edges = code_graph(spark, d)
+    return graph.trace(edges, nodes, rows(spark, FEATURES, "query_id int, feature string"), max_depth=4)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT 'nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'communities', count(DISTINCT community_id) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'edges:' || confidence, count(*) FROM edges GROUP BY confidence")
+def graph_stats(spark, d):
+    return graph.graph_stats(*code_graph(spark, d))
+
+
+# -- maintenance -------------------------------------------------------------------------------
+OLD_NEW = "o AS (SELECT doc_id, source || '/' || doc_id AS rel_path, sha256(text) AS content_hash FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, source || '/' || doc_id AS rel_path, CASE WHEN doc_id % 10 = 1 THEN sha256(text || '!') ELSE sha256(text) END AS content_hash FROM documents WHERE doc_id % 10 <> 9)"
+
+
+def old_new(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("rel_path"), "text")
+    old = t.where("doc_id % 10 <> 0").select("doc_id", "rel_path", text.sha256(F.col("text")).alias("content_hash"))
+    new = t.where("doc_id % 10 <> 9").select("doc_id", "rel_path", text.sha256(F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
+    return old, new
+
+
+@query(f"WITH {OLD_NEW} SELECT * FROM n UNION ALL SELECT * FROM o WHERE rel_path NOT IN (SELECT rel_path FROM n)")
+def upsert_chunks(spark, d):
+    return ingest.upsert(*old_new(spark, d), "rel_path")
+
+
+@query(f"WITH {OLD_NEW} SELECT n.* FROM n LEFT JOIN o ON n.doc_id = o.doc_id AND n.content_hash = o.content_hash AND o.doc_id % 7 <> 0 WHERE o.doc_id IS NULL")
+def fresh_skip(spark, d):
+    old, new = old_new(spark, d)
+    stored = old.select(F.col("doc_id").alias("chunk_id"), "content_hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise("hash-64").alias("embedding_model"), F.lit(None).cast("string").alias("enricher_id"))
+    return ingest.stale_chunks(new.withColumnRenamed("doc_id", "chunk_id"), stored, "hash-64").select(F.col("chunk_id").alias("doc_id"), "rel_path", "content_hash")
+
+
+@query("""WITH o AS (SELECT source || '/' || doc_id AS rel_path, CAST(doc_id AS DOUBLE) AS mtime, n_chars AS size_bytes FROM documents WHERE doc_id % 10 <> 0),
+n AS (SELECT source || '/' || doc_id AS rel_path, CAST(doc_id + CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS DOUBLE) AS mtime, n_chars AS size_bytes FROM documents WHERE doc_id % 10 <> 9)
+SELECT rel_path, CASE WHEN n.mtime IS NULL THEN 'removed' WHEN o.mtime IS NULL THEN 'new' WHEN n.mtime <> o.mtime OR n.size_bytes <> o.size_bytes THEN 'changed' ELSE 'unchanged' END AS state FROM o FULL JOIN n USING (rel_path)""")
+def file_freshness(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("rel_path"), F.col("doc_id").cast("double").alias("mtime"), F.col("n_chars").alias("size_bytes"), F.lit("noop").alias("enricher_id"), F.lit(None).cast("string").alias("embedder_model"))
+    now = t.where("doc_id % 10 <> 9").withColumn("mtime", F.when(F.col("doc_id") % 10 == 1, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    return ingest.file_states(now.drop("doc_id"), t.where("doc_id % 10 <> 0").drop("doc_id"))
+
+
+@query(f"WITH {OLD_NEW} SELECT o.* FROM o WHERE rel_path IN (SELECT rel_path FROM n)")
+def stale_evict(spark, d):
+    old, new = old_new(spark, d)
+    return ingest.evict_unseen(old, new)
+
+
+DELTA_COLS = "'sha256:' || sha256(rel_path || ':1-1:' || content_hash) AS chunk_id"
+
+
+@query(f"""WITH {OLD_NEW}, r AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'moved/' || doc_id ELSE rel_path END AS rel_path, content_hash FROM o WHERE doc_id % 10 NOT IN (1, 9)),
+u AS (SELECT rel_path, content_hash FROM r UNION ALL SELECT rel_path, content_hash FROM n WHERE doc_id % 10 IN (0, 1)) SELECT rel_path, content_hash, {DELTA_COLS} FROM u""")
+def delta_apply(spark, d):
+    old, new = old_new(spark, d)
+    shape = lambda df: df.select("rel_path", "content_hash", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), text.chunk_id(F.col("rel_path"), F.lit(1), F.lit(1), F.col("content_hash")).alias("chunk_id"))
+    keyed = old.unionByName(new.where("doc_id % 10 = 0")).select("doc_id", "rel_path")
+    kind = F.expr("CASE doc_id % 10 WHEN 0 THEN 'add' WHEN 1 THEN 'modify' WHEN 9 THEN 'delete' WHEN 3 THEN 'rename' END")
+    deltas = keyed.select(kind.alias("action"), F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("moved/"), "doc_id")).otherwise(F.col("rel_path")).alias("rel_path"), F.when(F.col("doc_id") % 10 == 3, F.col("rel_path")).alias("old_path")).where("action is not null")
+    return ingest.apply_deltas(shape(old), deltas, shape(new)).select("rel_path", "content_hash", "chunk_id")
+
+
+@query(f"WITH {OLD_NEW}, r AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'moved/' || doc_id ELSE rel_path END AS rel_path, content_hash FROM o) SELECT rel_path, {DELTA_COLS} FROM r")
+def rename_apply(spark, d):
+    old, _ = old_new(spark, d)
+    own = old.select("rel_path", "content_hash", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), text.chunk_id(F.col("rel_path"), F.lit(1), F.lit(1), F.col("content_hash")).alias("chunk_id"))
+    renames = old.where("doc_id % 10 = 3").select(F.col("rel_path").alias("old_path"), F.concat(F.lit("moved/"), "doc_id").alias("new_path"))
+    return ingest.rename_paths(own, renames).select("rel_path", "chunk_id")
+
+
+@query(f"""WITH {GRAPH_SQL}, a AS (SELECT source, target, relation, confidence FROM edges WHERE hash(source || target) IS NOT NULL AND NOT ends_with(source, '3')), b AS (SELECT source, target, relation, CASE WHEN ends_with(source, '5') THEN 'AMBIGUOUS' ELSE confidence END AS confidence FROM edges WHERE NOT ends_with(source, '4')),
+da AS (SELECT DISTINCT * FROM a), db AS (SELECT DISTINCT * FROM b)
+SELECT * FROM (SELECT source, target, relation, CASE WHEN da.confidence IS NULL THEN 'added' WHEN db.confidence IS NULL THEN 'deleted' WHEN da.confidence <> db.confidence THEN 'changed' END AS change FROM da FULL JOIN db USING (source, target, relation)) WHERE change IS NOT NULL""")
+def graph_diff(spark, d):
+    edges = code_graph(spark, d)[1].select("source", "target", "relation", "confidence").distinct()
+    old = edges.where(~F.col("source").endswith("3"))
+    new = edges.where(~F.col("source").endswith("4")).withColumn("confidence", F.when(F.col("source").endswith("5"), "AMBIGUOUS").otherwise(F.col("confidence")))
+    return ingest.graph_diff(old, new.distinct(), ["source", "target", "relation"])
+
+
+@query("SELECT source AS repo, count(DISTINCT doc_id) AS files, count(*) AS chunks FROM documents GROUP BY source UNION ALL SELECT 'empty', 0, 0")
+def list_repos(spark, d):
+    own = document_chunks(spark, d).select("repo", "rel_path", "chunk_id")
+    return ingest.repo_stats(own, own.select("repo").distinct().unionByName(rows(spark, [("empty",)], "repo string")))
+
+
+@query("""SELECT metric, count(*) FILTER (w) AS value FROM (SELECT unnest([{'metric': 'chunks', 'w': true}, {'metric': 'orphans', 'w': doc_id % 11 = 0}, {'metric': 'model:hash/' || (64 + doc_id % 2), 'w': true}, {'metric': 'enricher:' || CASE WHEN doc_id % 3 = 0 THEN '(none)' ELSE 'parent' END, 'w': true}], recursive := true) FROM documents) GROUP BY metric""")
+def index_stats(spark, d):
+    t = read(spark, d, "documents")
+    return ingest.index_stats(t.select(F.when(F.col("doc_id") % 11 != 0, F.col("source")).alias("repo"), F.lit("hash").alias("embedding_model"), (64 + F.col("doc_id") % 2).alias("embedding_dim"), F.when(F.col("doc_id") % 3 != 0, "parent").alias("enricher_id")))
+
+
+REPOS_OLD = [("h/a", "t1", "main"), ("h/b", "t1", None)]
+REPOS_NEW = [("h/b", "t2", "dev"), ("h/a", "t2", None), ("h/c", "t2", "main")]
+
+
+@query("SELECT * FROM (VALUES ('h/a', 't1', 'main'), ('h/b', 't1', 'dev'), ('h/c', 't2', 'main')) AS t(normalized_key, first_indexed_at, default_branch)")
+def register_repos(spark, d):
+    shape = "normalized_key string, first_indexed_at string, default_branch string"
+    return ingest.register_repos(rows(spark, REPOS_OLD, shape), rows(spark, REPOS_NEW, shape))
+
+
+TERMS = [("FSRS", "spaced repetition", ["srs", "scheduler"], "algo"), ("Deck", "a set of cards", [], None), ("Bad", None, [], None)]
+
+
+@query("SELECT 'glossary:' || substr(sha256(term || ':' || definition), 1, 16) AS chunk_id, term AS symbol, content FROM (VALUES ('FSRS', 'spaced repetition', 'FSRS' || chr(10) || 'Aliases: srs, scheduler' || chr(10) || 'spaced repetition'), ('Deck', 'a set of cards', 'Deck' || chr(10) || 'a set of cards')) AS t(term, definition, content)")
+def glossary_chunks(spark, d):
+    return ingest.glossary_chunks(rows(spark, TERMS, "term string, definition string, aliases array<string>, category string")).select("chunk_id", "symbol", "content")
+
+
+@query("SELECT conv_id || '/' || turn AS chunk_id, '# repo: chats' || chr(10) || '# in conversation conv' || conv_id || ' (chats/' || conv_id || ':1)' || chr(10) || text AS embedding_text FROM conversations")
+def enrich_parent(spark, d):
+    t = read(spark, d, "conversations")
+    turns = t.select(F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), F.concat(F.lit("conv:"), "conv_id").alias("parent_chunk_id"), F.lit("turn").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit("x").alias("rel_path"), F.col("turn").cast("int").alias("start_line"), F.lit("chats").alias("repo"), F.col("text").alias("content"))
+    parents = t.select("conv_id").distinct().select(F.concat(F.lit("conv:"), "conv_id").alias("chunk_id"), F.lit(None).cast("string").alias("parent_chunk_id"), F.lit("conversation").alias("kind"), F.concat(F.lit("conv"), "conv_id").alias("symbol"), F.concat(F.lit("chats/"), "conv_id").alias("rel_path"), F.lit(1).alias("start_line"), F.lit("chats").alias("repo"), F.lit("").alias("content"))
+    return enrich.hierarchical(turns.unionByName(parents)).where("kind = 'turn'").select("chunk_id", "embedding_text")
+
+
+ANCHOR_ROWS = [(1, "class", "UserController", "x", "src/a.java"), (2, "function", "main", "if __name__ == '__main__':", "pkg/x.py"), (3, "class", "OrderRepository", "@Service", "src/repos/o.java"), (4, "method", "helper", "plain", "lib/z.go"), (5, "class", None, "@Entity", "src/models/y.java")]
+
+
+@query("SELECT * FROM (VALUES (1, 'controller', 1.8::DOUBLE), (2, 'main', 2.0), (3, 'repository,service', 1.5), (4, '', 1.0), (5, 'entity', 1.6)) AS t(id, patterns, boost)")
+def anchors(spark, d):
+    own = rows(spark, ANCHOR_ROWS, "id int, kind string, symbol string, content string, rel_path string")
+    return enrich.anchors(own).select("id", F.array_join("patterns", ",").alias("patterns"), "boost")
+
+
+# -- evaluation, costs, routing, cache, streams ---------------------------------------------------
+GOLD_SQL = rf"""{Q_BENCH}, {BM25_CTES},
+gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+cases AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'third' ELSE '(untagged)' END AS tag FROM (SELECT DISTINCT query_id FROM gold)),
+first AS (SELECT b.query_id, min(rank) AS r FROM bm25 b JOIN gold g ON b.query_id = g.query_id AND b.doc_id = g.doc_id WHERE rank <= 10 GROUP BY b.query_id)"""
+METRICS = "count(*) AS cases, round(avg(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr"
+
+
+def judged(spark, d):
+    docs, asked = read(spark, d, "documents"), benchmark_queries(spark, d)
+    pairs = docs.select("doc_id", "source", "text").join(F.broadcast(asked.limit(10_000)), F.contains("text", F.col("query")))
+    path = F.concat_ws("/", "source", "doc_id")
+    cases = pairs.groupBy("query_id").agg(F.collect_list(path).alias("expected_paths")).select("query_id", "expected_paths", F.array().cast("array<string>").alias("expected_symbols"), F.when(F.col("query_id") % 3 == 0, F.array(F.lit("third"))).alias("tags"))
+    hits = search.bm25(docs, asked, 10).join(docs.select("doc_id", path.alias("rel_path"), F.lit(None).cast("string").alias("symbol")), "doc_id")
+    return reports.first_hits(cases, hits)
+
+
+@query(f"WITH {GOLD_SQL} SELECT {METRICS} FROM cases LEFT JOIN first USING (query_id)")
+def eval_recall_mrr(spark, d):
+    return reports.metrics(judged(spark, d))
+
+
+@query(f"WITH {GOLD_SQL} SELECT tag, {METRICS} FROM cases LEFT JOIN first USING (query_id) GROUP BY tag")
+def eval_by_tag(spark, d):
+    return reports.metrics_by_tag(judged(spark, d))
+
+
+@query("SELECT 'repo' || user_id % 7 AS repo, count(*) AS runs, CAST(sum(event_id % 5) AS BIGINT) AS files, CAST(sum(event_id % 11) AS BIGINT) AS chunks, CAST(sum(event_id % 3) AS BIGINT) AS embedded, CAST(0 AS BIGINT) AS reused, CAST(count(*) AS BIGINT) AS enricher_cache_hits, max(ts) AS last_seen FROM events WHERE event_type <> 'error' GROUP BY 1")
+def cost_rollup(spark, d):
+    e = read(spark, d, "events").where("event_type <> 'error'")
+    log = e.select(F.col("event_type").alias("event"), F.concat(F.lit("repo"), F.col("user_id") % 7).alias("repo"), (F.col("event_id") % 5).alias("files"), (F.col("event_id") % 11).alias("chunks"), (F.col("event_id") % 3).alias("embedded"), F.lit(None).cast("long").alias("reused"), F.lit(1).cast("long").alias("enricher_cache_hits"), F.col("ts").alias("timestamp"))
+    return reports.cost(log)
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 3600 SECOND AS ended, count(*) AS changes FROM i GROUP BY user_id, island""")
+def debounce_sessions(spark, d):
+    return watch.debounced(read(spark, d, "events"), "3600 seconds")
+
+
+@query(SQL["debounce_sessions"])
+def stream_sessions(spark, d):
+    """The same operator over a stream of the table, run to its end."""
+    schema = read(spark, d, "events").schema
+    name = f"sessions_{abs(hash(d)) % 10**8}_{spark.sparkContext._jvm.System.nanoTime()}"
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{d}/events.parquet*")
+    q = watch.debounced(src, "3600 seconds", late="30 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+ROUTES = [(1, "what calls the parse_file", "find_callers", "parse_file", 0.9), (2, "tests for Storage.search", "find_tests_for", "Storage.search", 0.9), (3, "show me the Chunker", "get_symbol", "Chunker", 0.9), (4, "how does the retry logic work", "trace_feature", "retry logic", 0.9), (5, "", "search_code", None, 1.0), (6, "best way to cache things in here", "search_code", None, 0.5), (7, "RrfFusion", "get_symbol", "RrfFusion", 0.9), (8, "what relates to Embedder", "find_related", "Embedder", 0.9)]
+
+
+@query(f"SELECT * FROM (VALUES {values(ROUTES)}) AS t(query_id, query, intent, subject, confidence)")
+def route_queries(spark, d):
+    return intent.route(rows(spark, [r[:2] for r in ROUTES], "query_id int, query string"))
+
+
+PROMPTS = [("the def of it", "function"), ("an enum type", "class"), ("how it runs", "how"), ("locate it", "where"), ("unit tests", "test"), ("debug this", "error"), ("something", "other")]
+
+
+@query(f"SELECT * FROM (VALUES {values(PROMPTS)}) AS t(query, kind)")
+def prompt_kinds(spark, d):
+    return rows(spark, [(p,) for p, _ in PROMPTS], "query string").select("query", intent.prompt_kind(F.col("query")).alias("kind"))
+
+
+@query("SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda x: CAST(CAST(sign(CAST(x AS DOUBLE)) * floor(abs(CAST(x AS DOUBLE)) * 100 + 0.5) AS INT) AS VARCHAR)), ',') || '|10|lang=en') AS key FROM embeddings")
+def cache_keys(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", cache.cache_key(F.col("embedding"), F.lit(10), F.lit("lang=en")).alias("key"))
+
+
+@query("""WITH o AS (SELECT doc_id, n_chars AS m FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS m FROM documents WHERE doc_id % 10 <> 9)
+SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS rel_path, CASE WHEN o.m IS NULL THEN 'added' WHEN n.m IS NULL THEN 'removed' WHEN o.m <> n.m THEN 'changed' END AS change FROM o FULL JOIN n USING (doc_id)) WHERE change IS NOT NULL""")
+def snapshot_diff(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("rel_path"), F.col("n_chars").alias("mtime"))
+    return watch.snapshot_diff(t.where("doc_id % 10 <> 0"), t.where("doc_id % 10 <> 9").withColumn("mtime", F.when(F.col("doc_id") % 10 == 1, F.col("mtime") + 1).otherwise(F.col("mtime"))))
+
+
+DIFF_LINES = ["M\ta.py", "A\tb.py", "D\tc.py", "R087\told.py\tnew.py", "C100\tx.py\ty.py", "T\tz.py"]
+DELTAS = [("modify", "a.py", None, None), ("add", "b.py", None, None), ("delete", "c.py", None, None), ("rename", "new.py", "old.py", 87), ("add", "y.py", None, 100), ("add", "z.py", None, None)]
+
+
+@query(f"SELECT * FROM (VALUES {values(DELTAS)}) AS t(action, rel_path, old_path, similarity)")
+def change_feed(spark, d):
+    return sources.parse_name_status(rows(spark, [(x,) for x in DIFF_LINES], "value string"))
+
+
+@query()
+def hash_embeddings(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.hash_embedding(F.col("text")).alias("embedding"))
+
+
+@query()
+def communities_by_labels(spark, d):
+    return graph.label_propagation(code_graph(spark, d)[1].where("relation = 'located_in'"), 3)
+
+
+@query("SELECT 'conv' || conv_id AS rel_path, turn, role, CASE WHEN length(text) > 480 THEN rtrim(substr(text, 1, 480), ' ') || '…' ELSE text END AS snippet, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS place FROM conversations")
+def file_outline(spark, d):
+    t = read(spark, d, "conversations")
+    return ranked(t.select("conv_id", F.concat(F.lit("conv"), "conv_id").alias("rel_path"), "turn", "role", text.snippet(F.col("text")).alias("snippet")), "conv_id", "turn", "role", name="place").drop("conv_id")
