@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,9 +101,21 @@ def l2_score(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - d2 / 2)
 
 
+def _unit_counts(dim: int):
+    def unit(slots: pd.Series) -> pd.Series:
+        def one(s: np.ndarray | None) -> np.ndarray:
+            both = np.bincount(s if s is not None else [], minlength=2 * dim).astype(np.float64)
+            v = both[:dim] - both[dim:]
+            return (v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32)
+
+        return slots.map(one, na_action=None)
+
+    return F.pandas_udf(unit, "array<float>")
+
+
 def hash_embedding(c: Column, dim: int = 64) -> Column:
-    """Default embedder: terms hashed to ``dim`` signed counts, of unit length (zero for no terms)."""
-    slots = F.transform(terms(c), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.size(F.filter(slots, lambda s: s == k)) - F.size(F.filter(slots, lambda s: s == k + dim))).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(0.0).cast("float"))
+    """Default embedder: terms hashed to ``dim`` signed counts, of unit length (zero for no terms).
+
+    Hashing stays in the JVM; counting is one Arrow function, evaluated once per row before any join.
+    """
+    return _unit_counts(dim)(F.transform(terms(c), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)).cast("int")))

@@ -151,11 +151,13 @@ def repo_stats(chunks: DataFrame, repos: DataFrame) -> DataFrame:
 
 def index_stats(chunks: DataFrame) -> DataFrame:
     """(metric, value): totals, orphans, chunks by model and by enricher."""
+    row = lambda metric, on: F.struct(metric.alias("metric"), on.alias("on"))
+    always = F.lit(True)
     rows = F.array(
-        F.struct(F.lit("chunks").alias("metric"), F.lit(True).alias("on")),
-        F.struct(F.lit("orphans"), F.col("repo").isNull()),
-        F.struct(F.concat(F.lit("model:"), "embedding_model", F.lit("/"), F.col("embedding_dim").cast("string")), F.lit(True)),
-        F.struct(F.concat(F.lit("enricher:"), F.coalesce("enricher_id", F.lit("(none)"))), F.lit(True)),
+        row(F.lit("chunks"), always),
+        row(F.lit("orphans"), F.col("repo").isNull()),
+        row(F.concat(F.lit("model:"), "embedding_model", F.lit("/"), F.col("embedding_dim").cast("string")), always),
+        row(F.concat(F.lit("enricher:"), F.coalesce("enricher_id", F.lit("(none)"))), always),
     )
     return chunks.select(F.explode(rows).alias("x")).groupBy("x.metric").agg(F.count_if("x.on").alias("value"))
 

@@ -13,11 +13,12 @@ from ..functions import rules
 def route(queries: DataFrame) -> DataFrame:
     """Adds intent, subject and confidence; the first matching pattern decides, none means search_code at 0.5."""
     q = F.trim("query")
-    step = F.when(q == "", F.struct(F.lit("search_code").alias("intent"), F.lit(None).cast("string").alias("subject"), F.lit(1.0).alias("confidence")))
-    for intent, pattern in rules.INTENTS:
+    made = lambda name, subject, sure: F.struct(F.lit(name).alias("intent"), subject.cast("string").alias("subject"), F.lit(sure).alias("confidence"))
+    step = F.when(q == "", made("search_code", F.lit(None), 1.0))
+    for name, pattern in rules.INTENTS:
         p = f"(?i){pattern}"
-        step = step.when(q.rlike(p), F.struct(F.lit(intent), F.regexp_replace(F.regexp_extract(q, p, 1), "^[`'\"]+|[`'\"]+$", ""), F.lit(0.9)))
-    routed = step.otherwise(F.struct(F.lit("search_code"), F.lit(None).cast("string"), F.lit(0.5)))
+        step = step.when(q.rlike(p), made(name, F.regexp_replace(F.regexp_extract(q, p, 1), "^[`'\"]+|[`'\"]+$", ""), 0.9))
+    routed = step.otherwise(made("search_code", F.lit(None), 0.5))
     return queries.withColumn("r_", routed).select(*queries.columns, "r_.intent", "r_.subject", "r_.confidence")
 
 

@@ -360,7 +360,7 @@ np AS (SELECT count(*) AS n FROM part),
 nodes AS (
   SELECT 'region:' || r_regionkey AS node_id, r_name AS label, 'geo/region.txt' AS source_file, r_regionkey AS line, r_regionkey AS community_id, r_name AS community_label FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'geo/nation.txt', n_nationkey, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'tests/supplier_' || s_suppkey % 10 || '.txt', CAST(s_suppkey // 10 AS INT), n_regionkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'src/tests/supplier_' || s_suppkey % 10 || '.txt', CAST(s_suppkey // 10 AS INT), n_regionkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'part:' || p_partkey, p_name || '.' || p_type || '.k' || p_partkey, 'src/part_' || p_partkey % 50 || '.txt', CAST(p_partkey // 50 AS INT), CAST(p_partkey % 5 AS INT), r_name FROM part JOIN region ON p_partkey % 5 = r_regionkey
 ),
 edges AS (
@@ -386,7 +386,7 @@ def code_graph(spark, d):
     div = lambda c, k: F.expr(f"{c} div {k}")
     nodes = node(region, "region", "r_regionkey", F.col("r_name"), F.lit("geo/region.txt"), F.col("r_regionkey"), F.col("r_regionkey"))
     nodes = nodes.unionByName(node(nation, "nation", "n_nationkey", F.col("n_name"), F.lit("geo/nation.txt"), F.col("n_nationkey"), F.col("n_regionkey")))
-    nodes = nodes.unionByName(node(supplier, "supplier", "s_suppkey", F.col("s_name"), F.concat(F.lit("tests/supplier_"), F.col("s_suppkey") % 10, F.lit(".txt")), div("s_suppkey", 10), F.col("n_regionkey")))
+    nodes = nodes.unionByName(node(supplier, "supplier", "s_suppkey", F.col("s_name"), F.concat(F.lit("src/tests/supplier_"), F.col("s_suppkey") % 10, F.lit(".txt")), div("s_suppkey", 10), F.col("n_regionkey")))
     nodes = nodes.unionByName(node(part, "part", "p_partkey", F.concat(F.concat_ws(".", "p_name", "p_type"), F.lit(".k"), "p_partkey"), F.concat(F.lit("src/part_"), F.col("p_partkey") % 50, F.lit(".txt")), div("p_partkey", 50), F.col("n_regionkey")))
     edge = lambda df, s, to, rel, conf, score: df.select(s.alias("source"), to.alias("target"), F.lit(rel).alias("relation"), conf.alias("confidence"), score.cast("double").alias("confidence_score"))
     named = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
@@ -400,7 +400,7 @@ def code_graph(spark, d):
     return nodes, edges
 
 
-STARTS = [(1, "part:3"), (2, "part:10"), (3, "part:21")]
+STARTS = [(1, "part:3"), (2, "part:14"), (3, "part:21")]
 STARTS_SQL = f"starts(query_id, node_id) AS (VALUES {values(STARTS)})"
 
 
@@ -685,13 +685,13 @@ def stream_sessions(spark, d):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{d}/events.parquet*")
     q = watch.debounced(src, "3600 seconds", late="30 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
 
 ROUTES = [(1, "what calls the parse_file", "find_callers", "parse_file", 0.9), (2, "tests for Storage.search", "find_tests_for", "Storage.search", 0.9), (3, "show me the Chunker", "get_symbol", "Chunker", 0.9), (4, "how does the retry logic work", "trace_feature", "retry logic", 0.9), (5, "", "search_code", None, 1.0), (6, "best way to cache things in here", "search_code", None, 0.5), (7, "RrfFusion", "get_symbol", "RrfFusion", 0.9), (8, "what relates to Embedder", "find_related", "Embedder", 0.9)]
 
 
-@query(f"SELECT * FROM (VALUES {values(ROUTES)}) AS t(query_id, query, intent, subject, confidence)")
+@query(f"SELECT query_id, query, intent, subject, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES {values(ROUTES)}) AS t(query_id, query, intent, subject, confidence)")
 def route_queries(spark, d):
     return intent.route(rows(spark, [r[:2] for r in ROUTES], "query_id int, query string"))
 
@@ -720,9 +720,10 @@ DIFF_LINES = ["M\ta.py", "A\tb.py", "D\tc.py", "R087\told.py\tnew.py", "C100\tx.
 DELTAS = [("modify", "a.py", None, None), ("add", "b.py", None, None), ("delete", "c.py", None, None), ("rename", "new.py", "old.py", 87), ("add", "y.py", None, 100), ("add", "z.py", None, None)]
 
 
-@query(f"SELECT * FROM (VALUES {values(DELTAS)}) AS t(action, rel_path, old_path, similarity)")
+@query(f"SELECT * FROM (VALUES {values(DELTAS)}) AS t(action, rel_path, old_path, similarity)".replace("NULL)", "0)"))
 def change_feed(spark, d):
-    return sources.parse_name_status(rows(spark, [(x,) for x in DIFF_LINES], "value string"))
+    feed = sources.parse_name_status(rows(spark, [(x,) for x in DIFF_LINES], "value string"))
+    return feed.withColumn("similarity", F.coalesce("similarity", F.lit(0)))
 
 
 @query()

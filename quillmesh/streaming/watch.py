@@ -19,7 +19,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def debounced(events: DataFrame, quiet: str = "2 seconds", late: str | None = None, key: str = "user_id") -> DataFrame:
     """(key, started, ended, changes): a reindex is due once a key has been quiet; works on batches and streams."""
-    src = events.withWatermark("ts", late) if late else events
+    src = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     out = src.groupBy(key, F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("changes"))
     return out.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "changes")
 
