@@ -60,7 +60,7 @@ def hypothetical(queries: DataFrame, write=None, most: int = 2000) -> DataFrame:
     """Adds dense_query: what ``write(query, prompt kind)`` says without code fences, or the query itself."""
     if write is None:
         return queries.withColumn("dense_query", F.col("query"))
-    said = F.trim(F.regexp_replace(write(F.col("query"), prompt_kind(F.col("query"))), r"(?m)^```\w*\s*$", ""))
+    said = F.btrim(F.regexp_replace(write(F.col("query"), prompt_kind(F.col("query"))), r"(?m)^```\w*[ \t]*$", ""), F.lit(" \t\r\n"))
     return queries.withColumn("dense_query", F.when(said != "", F.substring(said, 1, most)).otherwise(F.col("query")))
 
 
