@@ -109,8 +109,9 @@ def dedup(docs: DataFrame, batches: int = 4, min_chars: int = MIN_CHARS, fan_out
     keys = (keyed_lines(docs, min_chars).groupBy("h1", "h2", "d").agg(F.lit(1).alias("one"))).select("d", "h1", "h2")
     keys = staged(keys, "line-keys")
     index = LineIndex(spark, fan_out=fan_out)
-    cuts = keys.stat.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)
-    edges = [None, *sorted({int(c) for c in cuts}), None]
+    inner = F.array(F.lit(0.0), *(F.lit(i / batches) for i in range(1, batches)))
+    cuts = keys.agg(F.percentile_approx("d", inner, F.lit(1000)).alias("x")).first().x or [0]
+    edges = [None, *sorted(set(cuts[1:])), None]
     for low, high in zip(edges, edges[1:]):
         batch = keys
         if low is not None:
