@@ -70,7 +70,8 @@ def base_stats(text: str) -> tuple[int, int, int, int, int]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, data): documents packed with their base statistics."""
+    """(block, data, h, n, lang, gram): documents packed with their base statistics, and the block's
+    distinct n-grams, so that counting and asking never open the texts again."""
     src = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(out, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(whole)
             held, size, made = [], 0, made + 1
-            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+            u, n, langs, text = distinct(whole)
+            own = ((first + made, pa.int64()), (out.getvalue().to_pybytes(), pa.binary()), (u.view(np.int64), pa.list_(pa.int64())), (n, pa.list_(pa.int64())), (langs.tolist(), pa.list_(pa.string())), (text.tolist(), pa.list_(pa.string())))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in own], names=["block", "data", "h", "n", "lang", "gram"])
 
         for whole in batches:
             for batch in slices(whole, most=BLOCK_BYTES // 4):
@@ -97,7 +100,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return src.mapInArrow(run, "block long, data binary")
+    return src.mapInArrow(run, "block long, data binary, h array<long>, n array<long>, lang array<string>, gram array<string>")
 
 
 def opened(data: bytes) -> pa.Table:
@@ -140,38 +143,25 @@ def parts(table: pa.Table, most: int = 1 << 20) -> Iterator[tuple[list[str], lis
     yield texts[start:], langs[start:], start
 
 
-def distinct(table: pa.Table, named: bool) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[str, str]] | None]:
-    """Sorted distinct hashes of a block and their counts; ``named``: also language and text of each."""
-    hs, ns, first = [], [], {}
+def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct n-grams, sorted by hash: hashes, counts, languages and texts."""
+    hs, ns, cs, ls = [], [], [], []
     for texts, langs, _ in parts(table):
         h, owner, codes = grams(texts, langs)
         u, at, n = np.unique(h, return_index=True, return_counts=True)
         hs.append(u)
         ns.append(n)
-        if named:
-            new = [k for k in range(len(u)) if int(u[k]) not in first] if first else range(len(u))
-            for k in new:
-                i = at[k]
-                first[int(u[k])] = (langs[owner[i]], codes[i].tobytes().decode("utf-32-le", "replace"))
-    if not hs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), first
-    every, counts = np.concatenate(hs), np.concatenate(ns)
-    u, inverse = np.unique(every, return_inverse=True)
-    return u, np.bincount(inverse, counts, minlength=len(u)).astype(np.int64), first
+        cs.append(codes[at])
+        ls.append(np.array(langs, object)[owner[at]] if len(at) else np.zeros(0, object))
+    every, counts, codes, langs_ = (np.concatenate(x) for x in (hs, ns, cs, ls))
+    u, first, inverse = np.unique(every, return_index=True, return_inverse=True)
+    text = np.ascontiguousarray(codes[first].astype("<u4")).view(f"<U{ORDER}").ravel() if len(u) else np.zeros(0, "<U1")
+    return u, np.bincount(inverse, counts, minlength=len(u)).astype(np.int64), langs_[first], text
 
 
 def counted(packed: DataFrame) -> DataFrame:
     """(h, lang, gram, n) for each block's distinct n-grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("data"):
-                u, n, names = distinct(opened(x.as_py()), named=True)
-                for i in range(0, len(u), 50_000):
-                    own = [names[h] for h in u[i : i + 50_000].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 50_000].view(np.int64)), pa.array([a for a, _ in own], pa.string()), pa.array([b for _, b in own], pa.string()), pa.array(n[i : i + 50_000])], names=["h", "lang", "gram", "n"])
-
-    return packed.select("data").mapInArrow(run, "h long, lang string, gram string, n long")
+    return packed.select(F.explode(F.arrays_zip("h", "n", "lang", "gram")).alias("x")).select("x.h", "x.lang", "x.gram", "x.n")
 
 
 def discounts(level: DataFrame, prune: bool) -> tuple[float, float, float]:
@@ -232,15 +222,15 @@ def requests(packed: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, x in zip(batch.column("block"), batch.column("data")):
-                u, _, _ = distinct(opened(x.as_py()), named=False)
+            for b, x in zip(batch.column("block"), batch.column("h")):
+                u = x.values.to_numpy().view(np.uint64)
                 s, order = split(u, shards)
                 u, s = u[order], s[order]
                 at = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1, [len(s)]]) if len(s) else np.zeros(1, int)
                 rows = [(b.as_py(), int(s[i]), u[i:j].astype("<u8").tobytes()) for i, j in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "s", "asked"])
 
-    return packed.mapInArrow(run, "block long, s int, asked binary")
+    return packed.select("block", "h").mapInArrow(run, "block long, s int, asked binary")
 
 
 def answers(asked: DataFrame, shards: DataFrame) -> DataFrame:
@@ -274,9 +264,8 @@ def perplexities(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, g in zip(batch.column("data"), batch.column("got")):
-                table = opened(x.as_py())
-                u, _, _ = distinct(table, named=False)
+            for x, g, hashes in zip(batch.column("data"), batch.column("got"), batch.column("h")):
+                table, u = opened(x.as_py()), hashes.values.to_numpy().view(np.uint64)
                 _, order = split(u, shards)
                 logs = np.empty(len(u), np.float64)
                 if len(u):
@@ -293,7 +282,7 @@ def perplexities(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     both = packed.join(got.hint("shuffle_hash"), "block", "left")
     none = F.expr("cast(array() as array<binary>)")
-    return both.select("data", F.coalesce("got", none).alias("got")).mapInArrow(run, schema)
+    return both.select("data", "h", F.coalesce("got", none).alias("got")).mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame, reach: float = REACH, min_docs: int = MIN_DOCS, max_langs: int = MAX_LANGS, shards: int | None = None) -> DataFrame:
