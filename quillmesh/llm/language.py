@@ -65,6 +65,8 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of all texts, and the text each belongs to."""
     joined = "\n \n".join(texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), lengths + 3)[: len(codes)]
     sym = np.concatenate([[0], symbols()[codes], [0]])
