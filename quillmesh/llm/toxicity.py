@@ -210,7 +210,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, max_windows:
         held.update(set(own))
         rows.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
     known = {w: i + 1 for i, w in enumerate(sorted(w for w, n in held.items() if n > 1))}
-    features = word_features(list(number) or [b""], known)
+    features = word_features(list(number) or [b"\x00"], known)
     every = [(k, s) for k, r in enumerate(rows) for s in (lambda w: rng.permutation(w)[:max_windows])(windows_of(len(r)))]
     doc, start = np.array([e[0] for e in every]), np.array([e[1] for e in every])
     flat, base = np.concatenate([*rows, [0]]), np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
@@ -289,7 +289,7 @@ def score_texts(words: _Words, texts: list[str]) -> np.ndarray:
         counts.append(len(own))
     words.fill()
     if not len(words):
-        words[b""]  # noqa: B018  a row for windows without words
+        words[b"\x00"]  # noqa: B018  a row for windows without words
         words.fill()
     flat, base = np.concatenate([*rows, np.zeros(1, np.int64)]), np.concatenate([[0], np.cumsum(counts)[:-1]])
     starts = [windows_of(n) for n in counts]
@@ -310,12 +310,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: tuple[int, int] = MAX_DO
     return fit([r.text or "" for r in rows], [r.toxic for r in rows])
 
 
-def score(docs: DataFrame, net: dict[str, np.ndarray] | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``score``."""
-    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("text of the row"))
-    schema = T.StructType([*src.schema.fields[: len(keep)], T.StructField("score", T.DoubleType(), False)])
+def score(docs: DataFrame, net: dict[str, np.ndarray] | None, keep: list[str], out: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` and the score as ``out``. Inside, columns go by place, so their names may be any."""
+    own = [f"c{i}" for i in range(len(keep))]
+    src = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, own)), F.col("text").alias("t"))
+    named = [F.col(k).alias(c) for c, k in zip(keep, own)]
     if net is None:
-        return src.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias("score"))
+        return src.select(*named, F.lit(0.0).alias(out))
+    schema = T.StructType([*src.schema.fields[: len(keep)], T.StructField("s", T.DoubleType(), False)])
     sent = with_workers(docs.sparkSession).sparkContext.broadcast(net)
     key = str(sent._jbroadcast.id() if sent._jbroadcast is not None else id(sent))
 
@@ -324,8 +326,8 @@ def score(docs: DataFrame, net: dict[str, np.ndarray] | None, keep: list[str]) -
             _WORKER.clear()
             _WORKER[key] = _Words(sent.value)
         for whole in batches:
-            for batch in slices(whole, "text of the row", 2 << 20):
-                got = score_texts(_WORKER[key], list(texts_of(batch, "text of the row")))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got)], names=[*keep, "score"])
+            for batch in slices(whole, "t", 2 << 20):
+                got = score_texts(_WORKER[key], list(texts_of(batch, "t")))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got)], names=[*own, "s"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select(*named, F.col("s").alias(out))

@@ -285,12 +285,14 @@ def test_network_gradients():
 
 
 def test_toxicity(spark):
-    larger = SF.replace("0.001", "0.01")
-    got = queries.op8_toxicity(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in got) >= 0.9 * len(got)
+    larger = SF.replace("0.001", "0.1")  # a few hundred labels are too few for the network
+    scored = queries.op8_toxicity(spark, larger)
+    got = scored.join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+    assert sum(r.predicted for r in got if r.toxic) >= 0.9 * sum(r.toxic for r in got)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     net = toxicity.train(documents(spark), labels)
-    rows = toxicity.score(odd(spark), net, odd(spark).columns).collect()
+    rows = toxicity.score(odd(spark), net, odd(spark).columns, "verdict").collect()
     assert len(rows) == len(ODD) and rows[0].h1 == 1
     assert toxicity.train(documents(spark), labels.limit(0)) is None and toxicity.score(odd(spark, []), net, ["doc_id"]).count() == 0
     assert toxicity.windows_of(0).tolist() == [0] and toxicity.windows_of(49).tolist() == [0, 36] and max(toxicity.windows_of(1000)) + toxicity.WINDOW >= 1000
@@ -362,3 +364,32 @@ def test_model_against_plain_kneser_ney(spark):
 def test_digest_shapes(spark):
     row = queries.op4_pii(spark, SF).first()
     assert len(row.base_sha256) == 64 and isinstance(row.n_email, int) and hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_against_plain_steps(spark):
+    import corpus_pipeline as cp
+
+    docs, outs = spark.read.parquet(f"{SF}/documents.parquet"), []
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        before = docs
+        docs = stage(spark, docs, SF).cache()
+        outs.append((name, before, docs))
+        assert name == "byte_bpe" or docs.columns == columns
+    assert [n for n, _, _ in outs] == ["toxicity", "line_dedup", "simhash", "mixing", "byte_bpe"]
+    rows = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    _, _, clean = outs[0]
+    assert 0 < clean.count() <= 200
+    _, before, cut = outs[1]
+    assert sorted(rows(cut)) == sorted((d, t) for d, _, _, t in plain_dedup(rows(before)))
+    _, before, single = outs[2]
+    assert sorted(r.doc_id for r in single.collect()) == sorted(d for d, _, c in plain_simhash(rows(before)) if d == c)
+    _, before, mixed = outs[3]
+    words = lambda df: Counter({r.source: r.n for r in df.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).alias("n")).collect()})
+    sizes = words(before)
+    order = sorted(sizes)
+    targets = mixing.water_fill([sizes[s] for s in order], [mixing.WEIGHTS[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()), 2.0)
+    assert words(mixed) == Counter({s: int(t) for s, t in zip(order, targets)})
+    _, before, tokens = outs[4]
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.read_ranks(cp.VOCABULARY)), special_tokens={})
+    assert Counter((r.doc_id, tuple(r.token_ids), r.decoded_sha256) for r in tokens.collect()) == Counter((d, tuple(known.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows(before))
