@@ -25,7 +25,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, docs.columns).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    scored = toxicity.score(docs, net, docs.columns, "toxicity of the row")
+    return scored.where(F.col("toxicity of the row") < toxicity.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
