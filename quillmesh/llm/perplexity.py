@@ -107,10 +107,9 @@ def opened(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def grams(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, owners, codes): the n-gram that ends at each character, its text's number, and the
-    code points of all texts, each after ORDER - 1 pads (so n-gram i spans codes i to i + ORDER - 1
-    of the positions that ``hashes`` lists)."""
+def grams(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, owners, codes, starts): the n-gram that ends at each character, its text's number,
+    the code points of all texts, each after ORDER - 1 pads, and where in them each n-gram starts."""
     low = [t.lower() for t in texts]
     pads = PAD * (ORDER - 1)
     codes = np.frombuffer((pads + pads.join(low)).encode("utf-32-le", "replace"), np.uint32).copy()
@@ -123,12 +122,20 @@ def grams(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, n
     ends = owners[ORDER - 1 :] if n > 0 else owners[:0]
     starts = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1
     inside = (np.arange(ORDER - 1, len(codes)) - starts[ends]) >= ORDER - 1 if n > 0 else np.zeros(0, bool)
-    at = np.flatnonzero(inside)
-    h = seeds[ends[at]]
+    if n <= 0:
+        return np.zeros(0, np.uint64), ends, codes, np.zeros(0, np.int64)
+    at, wide, h = np.flatnonzero(inside), codes.astype(np.uint64), seeds[ends]
     for k in range(ORDER):
-        h = (h ^ codes[at + k].astype(np.uint64)) * MULTIPLIER
+        h ^= wide[k : k + n]
+        h *= MULTIPLIER
         h ^= h >> np.uint64(29)
-    return h, ends[at], np.stack([codes[at + k] for k in range(ORDER)], axis=1) if len(at) else np.zeros((0, ORDER), np.uint32)
+    return h[at], ends[at], codes, at
+
+
+def keyed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in the order they first occur, and each hash's place among them."""
+    found = pa.array(h).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
 
 
 def parts(table: pa.Table, most: int = 1 << 20) -> Iterator[tuple[list[str], list[str], int]]:
@@ -147,11 +154,13 @@ def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """A block's distinct n-grams, sorted by hash: hashes, counts, languages and texts."""
     hs, ns, cs, ls = [], [], [], []
     for texts, langs, _ in parts(table):
-        h, owner, codes = grams(texts, langs)
-        u, at, n = np.unique(h, return_index=True, return_counts=True)
+        h, owner, codes, starts = grams(texts, langs)
+        u, place = keyed(h)
+        at = np.zeros(len(u), np.int64)
+        at[place[::-1]] = np.arange(len(h))[::-1]  # the first occurrence is written last
         hs.append(u)
-        ns.append(n)
-        cs.append(codes[at])
+        ns.append(np.bincount(place, minlength=len(u)))
+        cs.append(codes[starts[at][:, None] + np.arange(ORDER)])
         ls.append(np.array(langs, object)[owner[at]] if len(at) else np.zeros(0, object))
     every, counts, codes, langs_ = (np.concatenate(x) for x in (hs, ns, cs, ls))
     u, first, inverse = np.unique(every, return_index=True, return_inverse=True)
@@ -272,9 +281,10 @@ def perplexities(docs: DataFrame, shards: int | None = None) -> DataFrame:
                     logs[order] = np.frombuffer(b"".join(p.as_py() for p in g.values), "<f4")
                 sums, counts = np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
                 for texts, langs, first in parts(table):
-                    h, owner, _ = grams(texts, langs)
+                    h, owner, *_ = grams(texts, langs)
                     if len(h):
-                        sums[first : first + len(texts)] = np.bincount(owner, logs[np.searchsorted(u, h)], minlength=len(texts))
+                        own, place = keyed(h)
+                        sums[first : first + len(texts)] = np.bincount(owner, logs[np.searchsorted(u, own)][place], minlength=len(texts))
                         counts[first : first + len(texts)] = np.bincount(owner, minlength=len(texts))
                 ppl = np.exp(-sums / np.maximum(counts, 1))
                 cols = [table.column(c).combine_chunks() for c in ("doc_id", "lang", *STATS)]
