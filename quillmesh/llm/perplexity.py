@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .base import shared_dir, slices, staged, texts_of, with_workers
 
-ORDER, BLOCK_BYTES, REACH, MIN_DOCS, MAX_LANGS = 4, 8 << 20, 10.0, 50, 1000
+ORDER, BLOCK_BYTES, REACH, MIN_DOCS, MAX_LANGS = 5, 8 << 20, 4.0, 50, 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PAD = "\x02"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -264,7 +264,7 @@ def perplexities(docs: DataFrame, shards: int | None = None) -> DataFrame:
     # Bucketed by block where it is written, so that the last join does not move the texts again.
     name = f"ngram_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks(docs).write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    blocks(docs).write.option("compression", "zstd").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     packed = spark.table(name)
     stored = staged(sharded(model(counted(packed)), shards), "ngram-arrays")
     got = staged(answers(requests(packed, shards), stored), "ngram-answers")

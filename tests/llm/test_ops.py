@@ -324,6 +324,17 @@ def test_perplexity_base_rules(spark):
     assert perplexity.judged(odd(spark, [])).count() == 0
 
 
+def test_perplexity_rejects_junk_in_every_language(spark):
+    """Labelled junk that passes the base rules leaves at a higher rate than good documents."""
+    big = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "quality")
+    found = perplexity.judged(spark.read.parquet(f"{big}/documents.parquet")).where("not base_failed").join(labels, "doc_id")
+    rows = found.groupBy("lang", "quality").agg(F.avg((~F.col("kept")).cast("int")).alias("rate")).collect()
+    rate = {(r.lang, r.quality): r.rate for r in rows}
+    for lang in ("de", "en", "es", "fr"):
+        assert rate[lang, 0] >= 0.1 and rate[lang, 0] >= 2 * rate[lang, 1] and rate[lang, 1] <= 0.1, lang
+
+
 def test_model_against_plain_kneser_ney(spark):
     texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "thethethe"] * 3
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
