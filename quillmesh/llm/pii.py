@@ -42,12 +42,17 @@ REACH = 80
 
 
 def found(text: Column, pattern: str, gate: Column | None = None) -> Column:
-    """array<(before: length of the text since the last match, value, context)>"""
+    """array<(before: length of the text since the last match, value, context: from the whole text before)>"""
     context = lambda p: F.regexp_replace(F.lower(F.regexp_extract(F.right(p, F.lit(REACH)), rf"((?:[^{WS}]+[{WS}]+)?[^{WS}]+)[{WS}]+\z", 1)), "[0-9]+", "0")
-    row = lambda p, m: F.struct(F.length(p).cast("long").alias("before"), m.alias("value"), F.regexp_replace(context(p), rf"[{WS}]+", " ").alias("context"))
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern)
-    out = F.filter(F.zip_with(pieces, matches, row), lambda r: r["value"].isNotNull())
+    row = lambda p, m: F.struct(F.length(p).cast("long").alias("before"), m.alias("value"), F.right(p, F.lit(REACH)).alias("tail"))
+    every = F.filter(F.zip_with(pieces, matches, row), lambda r: r["value"].isNotNull())
+    # A match has two characters or more, so the last REACH / 2 of them and what lies between reach far enough.
+    last = lambda rows, i: F.slice(rows, F.greatest(i - REACH // 2 + 1, F.lit(1)), F.least(i, F.lit(REACH // 2)))
+    ahead = lambda rows, r, i: F.concat(F.array_join(F.transform(last(rows, i), lambda x: F.concat(x["tail"], x["value"])), ""), r["tail"])
+    shown = lambda rows: F.transform(rows, lambda r, i: F.struct(r["before"], r["value"], F.regexp_replace(context(ahead(rows, r, i)), rf"[{WS}]+", " ").alias("context")))
+    out = F.transform(F.array(every), shown)[0]  # the lambda holds the rows, so that they are found once
     none = F.expr("cast(array() as array<struct<before: bigint, value: string, context: string>>)")
     return F.when(gate, out).otherwise(none) if gate is not None else out
 

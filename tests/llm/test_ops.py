@@ -178,6 +178,16 @@ def test_pii_base_and_contexts(spark):
     assert pii.find(odd(spark)).count() == len(ODD) and pii.find(odd(spark, [])).count() == 0
 
 
+def test_pii_context_is_the_same_for_seeds_and_candidates(spark):
+    # The word before is a match of the candidates' or of a seed's pattern itself.
+    rows = [(i, f"ticket12{i} contact: user{i}@host.example and") for i in range(8)] + [(8, "ticket5678 contact: user77(at)host and")]
+    rows += [(20 + i, f"sent a{i}@b.cc reply: user{i}@host.example and") for i in range(8)] + [(28, "sent a3@b.cc reply: user88(at)host and")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), confident=0.8).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[8] if not s.seed] == [("email", 20, 34)]
+    spans = pii.matches(spark.createDataFrame(rows, "doc_id long, text string"))[1].where("value like 'user%'")
+    assert {r.context for r in spans.collect()} == {"ticket0 contact:", "a0@b.cc reply:"}
+
+
 # -- chat ------------------------------------------------------------------------------------------
 def test_chat(spark):
     shape = "pair_id long, turn long, role string, text string"
