@@ -5,8 +5,9 @@
 2. Candidates: other tokens of 6 to 64 characters that hold a digit, with the same context.
 3. A bipartite graph of lexical patterns (the two words before, lower-cased, digits folded) and
    instances (the values). In each round a pattern's confidence for a kind is the mean score of
-   its distinct instances for that kind, given ``support`` seeds or more, and an unseen instance's
-   score is one minus the chance that none of its confident patterns is right.
+   its distinct instances for that kind: one for a seed, and for an unseen instance one minus the
+   chance that none of the confident patterns it occurs in is right. The sum of these scores must
+   reach ``support``, so each round's discoveries can admit patterns that few seeds or none support.
 4. Candidates after a pattern whose confidence reaches ``confident`` become spans of its kind.
 
 Step 1 and 2 read each text once and write the matches (never the text) to the shared folder;
@@ -113,10 +114,10 @@ def confident_patterns(seeds: DataFrame, candidates: DataFrame, rounds: int = RO
     own = lambda df: df.where("context <> ''").groupBy("context", "value", "kind").agg(F.lit(1).alias("one")).select("context", "value", "kind")
     edges = staged(own(seeds).unionByName(own(candidates)), "pii-edges")
     counts = edges.groupBy("context").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("kind") == k, 1)).alias(f"seeds_{k}") for k in KINDS))
-    # Only patterns with enough seeds can ever be trusted; the others only dilute.
-    able = staged(counts.where(" or ".join(f"seeds_{k} >= {support}" for k in KINDS)), "pii-patterns")
+    # A score is one at most, so a pattern with fewer instances than ``support`` can never be trusted.
+    able = staged(counts.where(F.col("n") >= support), "pii-patterns")
     unseen = staged(edges.where("kind = ''").select("context", "value").join(able.select("context").hint("merge"), "context"), "pii-unseen")
-    scores = None  # (value, kind, score) of unseen instances
+    scores = None  # (value, kind, score) of unseen instances, from the trusted patterns they occur in
     trusted = None
     for _ in range(rounds):
         known = able
@@ -124,8 +125,9 @@ def confident_patterns(seeds: DataFrame, candidates: DataFrame, rounds: int = RO
             gained = unseen.join(scores.hint("merge"), "value").groupBy("context").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(f"more_{k}") for k in KINDS))
             known = able.join(gained, "context", "left")
         more = lambda k: F.coalesce(F.col(f"more_{k}"), F.lit(0.0)) if scores is not None else F.lit(0.0)  # noqa: B023, E731
-        kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"seeds_{k}").alias("seeds"), ((F.col(f"seeds_{k}") + more(k)) / F.col("n")).alias("confidence")) for k in KINDS))
-        trusted = staged(known.select("context", F.explode(kinds).alias("x")).select("context", "x.*").where((F.col("seeds") >= support) & (F.col("confidence") >= confident / 2)).select("context", "kind", "confidence"), "pii-trusted")
+        kinds = F.array(*(F.struct(F.lit(k).alias("kind"), (F.col(f"seeds_{k}") + more(k)).alias("backed")) for k in KINDS))
+        each = known.select("context", "n", F.explode(kinds).alias("x")).select("context", "x.kind", "x.backed", (F.col("x.backed") / F.col("n")).alias("confidence"))
+        trusted = staged(each.where((F.col("backed") >= support) & (F.col("confidence") >= confident / 2)).select("context", "kind", "confidence"), "pii-trusted")
         miss = F.sum(F.log1p(-F.least("confidence", F.lit(0.999))))
         scores = unseen.join(trusted.hint("merge"), "context").groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score"))
     return trusted.where(F.col("confidence") >= confident).groupBy("context").agg(F.max(F.struct("confidence", "kind")).alias("x")).select("context", "x.kind", "x.confidence")

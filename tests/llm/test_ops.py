@@ -188,6 +188,16 @@ def test_pii_context_is_the_same_for_seeds_and_candidates(spark):
     assert {r.context for r in spans.collect()} == {"ticket0 contact:", "a0@b.cc reply:"}
 
 
+def test_pii_discoveries_support_new_patterns(spark):
+    # First pattern: many seeds and twelve unseen values. Second: the same values and a new one, no seed.
+    texts = [f"the mail address: user{i}@host.example and" for i in range(200)] + [f"the mail address: user{i}(at)host and" for i in range(12)]
+    texts += [f"write me under: user{i}(at)host and" for i in range(13)]
+    got = [r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), confident=0.8).orderBy("doc_id").collect()]
+    assert [(s.kind, s.start, s.end, s.seed) for s in got[-1]] == [("email", 16, 30, False)]
+    few = [f"the mail address: user{i}@host.example and" for i in range(4)] + ["the mail address: user7(at)host and"]
+    assert sum(len(r.spans) for r in pii.find(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string"), confident=0.8).collect()) == 4
+
+
 # -- chat ------------------------------------------------------------------------------------------
 def test_chat(spark):
     shape = "pair_id long, turn long, role string, text string"
