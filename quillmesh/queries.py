@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import rules, text
 from .operators import chunks as C
 from .operators import enrich, graph, ingest, reports, search
-from .operators.common import ranked
+from .operators.common import pair_all, ranked
 from .plans import cache, intent
 from .sources import files as sources
 from .streaming import watch
@@ -646,7 +646,7 @@ METRICS = "count(*) AS cases, round(avg(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE
 
 def judged(spark, d):
     docs, asked = read(spark, d, "documents"), benchmark_queries(spark, d)
-    pairs = docs.select("doc_id", "source", "text").join(F.broadcast(asked.limit(10_000)), F.contains("text", F.col("query")))
+    pairs = pair_all(docs.select("doc_id", "source", "text"), asked, "doc_id").where(F.contains("text", F.col("query")))
     path = F.concat_ws("/", "source", "doc_id")
     cases = pairs.groupBy("query_id").agg(F.collect_list(path).alias("expected_paths")).select("query_id", "expected_paths", F.array().cast("array<string>").alias("expected_symbols"), F.when(F.col("query_id") % 3 == 0, F.array(F.lit("third"))).alias("tags"))
     hits = search.bm25(docs, asked, 10).join(docs.select("doc_id", path.alias("rel_path"), F.lit(None).cast("string").alias("symbol")), "doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh import queries as core
 
@@ -38,6 +39,14 @@ def test_others_run(spark, name):
     assert core.QUERIES[name](spark, SF).count() > 0
 
 
+def test_eval_judges_every_benchmark_row(spark, tmp_path):
+    n = 10_050  # beyond the rows that are broadcast
+    spark.range(n).selectExpr("id AS item_id", "concat('passage', id, 'x') AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(n).selectExpr("id", "concat('passage', id, 'x') AS text").groupBy((F.col("id") % 50).alias("doc_id")).agg(F.array_join(F.collect_list("text"), " ").alias("text")).withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert core.QUERIES["eval_recall_mrr"](spark, str(tmp_path)).first().cases == n
+    assert sum(r.cases for r in core.QUERIES["eval_by_tag"](spark, str(tmp_path)).collect()) == n
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
