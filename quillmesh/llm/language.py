@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .base import slices, texts_of, with_workers
 
 DIM, SYMBOLS, N, SEED = 1024, 64, 3, 11
-_WORKER: dict = {}
+_WORKER: dict = {}  # tables of fixed size: 1 MB of symbols, 200 kB of letters
 
 
 def symbols() -> np.ndarray:

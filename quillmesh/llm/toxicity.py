@@ -7,12 +7,14 @@ and a logistic output scores the window. All overlapping windows of a whole text
 document's score is a logistic function of the largest and the mean window logit.
 
 Training runs on the driver over a sample of labelled documents with fixed bounds (``max_docs``
-of either class, ``max_windows`` windows a document), whatever the size of the tables. Scoring is one
-pass without a shuffle; what is sent to the workers is the network, whose size is fixed.
+of either class, ``max_chars`` characters together), whatever the size of the tables; every word of a
+sampled text is trained on. Scoring is one pass without a shuffle; what is sent to the workers is the
+network, whose size the bounds of the sample fix.
 
 Defined cases: a null or empty text (or one without words) scores as a window without words; rows
 that repeat a ``doc_id`` are scored each on their own; labels that are null or whose document is
-missing are not used, of several labels of a document the largest counts; a null ``doc_id`` counts
+missing are not used, of several labels of a document the largest counts, and of several texts of a
+sampled ``doc_id`` the first in order; a null ``doc_id`` counts
 as not held out; with no labelled document of either class every score is 0; an empty table gives
 an empty result; other columns are carried on request, whatever their names.
 """
@@ -25,16 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import crc_mod, slices, texts_of, with_workers
+from .base import crc_mod, engine, forget, slices, staged, texts_of, with_workers
 
-WINDOW, STRIDE, HIDDEN, PAIR_BITS = 48, 36, 8, 15
+WINDOW, STRIDE, HIDDEN, PAIR_BITS = 48, 24, 8, 15
 PAIRS = 1 << PAIR_BITS
 WORD_DIM, PAIR_DIM, ATTEND = 10, 6, 8
-MAX_DOCS, MAX_WINDOWS, EPOCHS, THRESHOLD = (4000, 1500), 4, 4, 0.3
-CACHE = 300_000  # words whose projections a worker keeps; no effect on results
+MAX_DOCS, MAX_CHARS, EPOCHS, THRESHOLD = (3000, 1500), 1 << 25, 4, 0.3
+CACHE = 60_000  # words whose projections a worker keeps; no effect on results
 
 
 _SEPARATE = bytes(32 if chr(i) in ".,;:!?\"'()[]|*&%$#<>" else i for i in range(256))
@@ -198,7 +201,7 @@ def summary(logits: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.stack([np.maximum.reduceat(logits, starts), np.add.reduceat(logits, starts) / windows, np.ones(len(windows))], axis=1).astype(np.float64)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, max_windows: int = MAX_WINDOWS, seed: int = 5) -> dict[str, np.ndarray] | None:
+def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.ndarray] | None:
     """The trained network, or None if a class has no document."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -211,7 +214,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, max_windows:
         rows.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
     known = {w: i + 1 for i, w in enumerate(sorted(w for w, n in held.items() if n > 1))}
     features = word_features(list(number) or [b"\x00"], known)
-    every = [(k, s) for k, r in enumerate(rows) for s in (lambda w: rng.permutation(w)[:max_windows])(windows_of(len(r)))]
+    # Windows side by side hold every word once; the overlapping ones serve the documents' scores below.
+    every = [(k, s) for k, r in enumerate(rows) for s in windows_of(len(r), stride=WINDOW)]
     doc, start = np.array([e[0] for e in every]), np.array([e[1] for e in every])
     flat, base = np.concatenate([*rows, [0]]), np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
     lengths = np.array([min(WINDOW, len(rows[k]) - s) for k, s in every])
@@ -277,9 +281,6 @@ class _Words(dict):
             self.clear()
 
 
-_WORKER: dict[str, _Words] = {}
-
-
 def score_texts(words: _Words, texts: list[str]) -> np.ndarray:
     words.restart()
     rows, counts = [], []
@@ -299,15 +300,20 @@ def score_texts(words: _Words, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f @ words.net["document"], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: tuple[int, int] = MAX_DOCS) -> dict[str, np.ndarray] | None:
-    """Fits on up to ``max_docs`` labelled documents of each class (clean, toxic), those of smallest hash, that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: tuple[int, int] = MAX_DOCS, max_chars: int = MAX_CHARS) -> dict[str, np.ndarray] | None:
+    """Fits on labelled documents that are not held out: up to ``max_docs`` of each class (clean,
+    toxic), those of smallest hash, in that order as long as they have ``max_chars`` together."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(crc_mod("doc_id", 4) != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs[k]) for k in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most sum(max_docs) rows of two numbers
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows])
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    held = staged(found, "toxicity-sample")
+    upto = F.sum(F.length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample only
+    rows = held.select("doc_id", "text", "toxic", upto.alias("upto")).where(F.col("upto") <= max_chars).select("doc_id", "text", "toxic").collect()
+    forget(held)
+    rows.sort(key=lambda r: (r.doc_id, r.text))
+    return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
 def score(docs: DataFrame, net: dict[str, np.ndarray] | None, keep: list[str], out: str = "score") -> DataFrame:
@@ -322,12 +328,10 @@ def score(docs: DataFrame, net: dict[str, np.ndarray] | None, keep: list[str], o
     key = str(sent._jbroadcast.id() if sent._jbroadcast is not None else id(sent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = _Words(sent.value)
+        words = engine(("toxicity", key), lambda: _Words(sent.value))
         for whole in batches:
             for batch in slices(whole, "t", 2 << 20):
-                got = score_texts(_WORKER[key], list(texts_of(batch, "t")))
+                got = score_texts(words, list(texts_of(batch, "t")))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got)], names=[*own, "s"])
 
     return src.mapInArrow(run, schema).select(*named, F.col("s").alias(out))
