@@ -9,17 +9,24 @@ the model, so the probability of each is stored as one number, in sorted arrays
 one pair of arrays for each of ``shards`` ranges of the hash.
 
 The model grows with the corpus and is never broadcast. Documents are packed once into compressed
-blocks; a block asks each shard for its own distinct n-grams (packed hashes), the answers come
-back by block, and the block's documents are scored against them.
-
-Verdict: a document outside its language's perplexity band is rejected. Bands are set in
-logarithms around the language's median, ``REACH`` times the distance to the quartiles, over the
-documents that pass the base rules. Languages with fewer than ``MIN_DOCS`` such documents, or beyond
-the ``MAX_LANGS`` largest, share the band of all documents.
+blocks; a block asks each shard for its own distinct n-grams (packed hashes). A shard's arrays and
+what it is asked meet in one sorted stream, so that a task holds the arrays of one shard at a time,
+loaded once; the answers come back by block, and the block's documents are scored against them.
+
+Verdict: a document outside its language's perplexity band is rejected. The mean of n log
+probabilities scatters less the longer the text is, so what is compared is the distance of the log
+perplexity from the language's median, times ``sqrt(n / (1 + n / STEADY))``: by the square root of the
+length up to about ``STEADY`` characters, and no further beyond. The band reaches ``reach`` times
+the distance from the median to the quartile of this measure on either side. Medians and quartiles
+come from exact counts of values rounded to 1/10,000 over all documents that pass the base rules, so
+reruns agree. Quartiles of a language of n such documents are drawn towards those of all documents as
+if ``PRIOR`` documents of these were added; there is no size at which a rule switches.
 
 Defined cases: a null text counts as empty, has no words and fails the base rules; a null language
-is a language of its own; rows that repeat a ``doc_id`` each get their own row; a null ``doc_id`` is
-kept; an empty table gives an empty result; other columns are not read.
+is a language of its own, and so is an empty one; rows that repeat a ``doc_id`` each get their own row;
+a null ``doc_id`` is kept; a text of one language and length may tie with the band's edge and is kept;
+very long texts are counted and scored in parts that overlap by ORDER - 1 characters; an
+empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +44,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import shared_dir, slices, staged, texts_of, with_workers
+from .base import delete, forget, shared_dir, slices, staged, texts_of, with_workers
 
-ORDER, BLOCK_BYTES, REACH, MIN_DOCS, MAX_LANGS = 5, 8 << 20, 4.0, 50, 1000
+ORDER, BLOCK_BYTES = 3, 8 << 20
+REACH, STEADY, PRIOR = 5.0, 8000, 25
+#: Parts of a language's documents that meet its band in separate rows, and rounding steps of the bands' measure.
+SALTS, GRAIN = 64, 10_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PAD = "\x02"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -72,7 +82,7 @@ def base_stats(text: str) -> tuple[int, int, int, int, int]:
 def blocks(docs: DataFrame) -> DataFrame:
     """(block, data, h, n, lang, gram): documents packed with their base statistics, and the block's
     distinct n-grams, so that counting and asking never open the texts again."""
-    src = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    src = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
@@ -107,29 +117,24 @@ def opened(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def grams(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, owners, codes, starts): the n-gram that ends at each character, its text's number,
-    the code points of all texts, each after ORDER - 1 pads, and where in them each n-gram starts."""
-    low = [t.lower() for t in texts]
-    pads = PAD * (ORDER - 1)
-    codes = np.frombuffer((pads + pads.join(low)).encode("utf-32-le", "replace"), np.uint32).copy()
+def grams(pieces: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, owners, codes, starts): the n-gram that ends at each character of each piece but its first
+    ORDER - 1, which are context; the piece's number; all code points, and where in them each n-gram starts."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le", "replace"), np.uint32).copy()
     codes[(codes >= 48) & (codes <= 57)] = 48
     codes[((codes >= 9) & (codes <= 13)) | (codes == 32)] = 32
-    lengths = np.fromiter(map(len, low), np.int64, len(low))
-    owners = np.repeat(np.arange(len(low)), lengths + ORDER - 1)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    n = np.maximum(lengths - (ORDER - 1), 0)
+    owners = np.repeat(np.arange(len(pieces)), n)
+    firsts = np.cumsum(lengths) - lengths - (np.cumsum(n) - n)
+    at = np.arange(len(owners)) + firsts[owners]
     seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), 7) for x in langs], np.uint64)
-    n = len(codes) - ORDER + 1
-    ends = owners[ORDER - 1 :] if n > 0 else owners[:0]
-    starts = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1
-    inside = (np.arange(ORDER - 1, len(codes)) - starts[ends]) >= ORDER - 1 if n > 0 else np.zeros(0, bool)
-    if n <= 0:
-        return np.zeros(0, np.uint64), ends, codes, np.zeros(0, np.int64)
-    at, wide, h = np.flatnonzero(inside), codes.astype(np.uint64), seeds[ends]
+    h = seeds[owners]
     for k in range(ORDER):
-        h ^= wide[k : k + n]
+        h ^= codes[at + k].astype(np.uint64)
         h *= MULTIPLIER
         h ^= h >> np.uint64(29)
-    return h[at], ends[at], codes, at
+    return h, owners, codes, at
 
 
 def keyed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,23 +143,30 @@ def keyed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
 
 
-def parts(table: pa.Table, most: int = 1 << 20) -> Iterator[tuple[list[str], list[str], int]]:
-    """A block's texts and languages in parts of about ``most`` characters, with each part's first row."""
-    texts, langs = table.column("text").to_pylist(), table.column("lang").to_pylist()
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield texts[start:i], langs[start:i], start
-            start, held = i, 0
-        held += len(t)
-    yield texts[start:], langs[start:], start
+def parts(table: pa.Table, most: int = 1 << 20) -> Iterator[tuple[list[str], list[str], list[int]]]:
+    """A block's texts, lower-cased and each after ORDER - 1 characters of context, their languages and
+    rows, in parts of about ``most`` characters; a text longer than that comes in several pieces."""
+    pieces, langs, rows, held = [], [], [], 0
+    for i, (text, lang) in enumerate(zip(table.column("text"), table.column("lang"))):
+        low = PAD * (ORDER - 1) + (text.as_py() or "").lower()
+        for start in range(0, max(1, len(low) - ORDER + 1), most):
+            piece = low[start : start + most + ORDER - 1]
+            if held and held + len(piece) > most:
+                yield pieces, langs, rows
+                pieces, langs, rows, held = [], [], [], 0
+            pieces.append(piece)
+            langs.append(lang.as_py())
+            rows.append(i)
+            held += len(piece)
+    if pieces:
+        yield pieces, langs, rows
 
 
 def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct n-grams, sorted by hash: hashes, counts, languages and texts."""
     hs, ns, cs, ls = [], [], [], []
-    for texts, langs, _ in parts(table):
-        h, owner, codes, starts = grams(texts, langs)
+    for pieces, langs, _ in parts(table):
+        h, owner, codes, starts = grams(pieces, langs)
         u, place = keyed(h)
         at = np.zeros(len(u), np.int64)
         at[place[::-1]] = np.arange(len(h))[::-1]  # the first occurrence is written last
@@ -182,13 +194,14 @@ def discounts(level: DataFrame, prune: bool) -> tuple[float, float, float]:
     return (1.0 if prune else d[0], d[1], d[2])
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """(h, logp): ln p of the last character of every n-gram after the ones before it."""
+def model(counts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(h, logp): ln p of the last character of every n-gram after the ones before it; and the tables it reads."""
     top = staged(counts.groupBy("h").agg(F.first("lang").alias("lang"), F.first("gram").alias("gram"), F.sum("n").alias("a")), "ngrams")
-    levels = {ORDER: top}
+    levels, made = {ORDER: top}, [top]
     for k in range(ORDER - 1, 0, -1):
         above = levels[k + 1]
         levels[k] = staged(above.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("a")), f"ngrams-{k}")
+        made.append(levels[k])
     below = None
     for k in range(1, ORDER + 1):
         d1, d2, d3 = discounts(levels[k], prune=k >= ORDER - 1 and k > 1)
@@ -206,7 +219,8 @@ def model(counts: DataFrame) -> DataFrame:
         below = p.select(*cols, "p")
         if k < ORDER:
             below = staged(below, f"probabilities-{k}")
-    return below.select("h", F.log("p").alias("logp"))
+            made.append(below)
+    return below.select("h", F.log("p").alias("logp")), made
 
 
 def sharded(scored: DataFrame, shards: int) -> DataFrame:
@@ -243,31 +257,34 @@ def requests(packed: DataFrame, shards: int) -> DataFrame:
 
 
 def answers(asked: DataFrame, shards: DataFrame) -> DataFrame:
-    """(block, answer): per block the log probabilities of its distinct hashes, by (shard, hash)."""
+    """(block, got): per block the log probabilities of its distinct hashes, by (shard, hash)."""
+    nothing = F.lit(None).cast("binary")
+    arrays = shards.select("s", F.lit(-1).cast("long").alias("block"), F.col("hashes").alias("x"), F.col("logps").alias("y"))
+    stream = arrays.union(asked.select("s", "block", F.col("asked").alias("x"), nothing.alias("y"))).repartition("s").sortWithinPartitions("s", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs = np.zeros(0, "<u8"), np.zeros(0, "<f4")
         for batch in batches:
-            out = []
-            for a, h, p in zip(*(batch.column(c) for c in ("asked", "hashes", "logps"))):
-                q, keys, logs = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(h.as_py(), "<u8"), np.frombuffer(p.as_py(), "<f4")
-                out.append(logs[np.searchsorted(keys, q)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("s"), pa.array(out, pa.binary())], names=["block", "s", "got"])
-
-    met = asked.join(shards.hint("merge"), "s").select("block", "s", "asked", "hashes", "logps").mapInArrow(run, "block long, s int, got binary")
+            for i in range(batch.num_rows):
+                s, block, x, y = (c[i] for c in batch.columns)
+                if block.as_py() < 0:  # a shard's arrays come before what it is asked
+                    keys, logs = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<f4")
+                else:
+                    got = logs[np.searchsorted(keys, np.frombuffer(x.as_py(), "<u8"))].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([s.as_py()], pa.int32()), pa.array([got], pa.binary())], names=["block", "s", "got"])
+
+    met = stream.mapInArrow(run, "block long, s int, got binary")
     return met.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("s", "got"))).alias("x")).select("block", F.col("x.got").alias("got"))
 
 
 def perplexities(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """doc_id, lang, the base statistics, n_chars and perplexity (null without characters)."""
+    """doc_id, lang, the base statistics, n_chars and perplexity (null without characters), written to the shared folder."""
     spark = with_workers(docs.sparkSession)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or buckets
     # Bucketed by block where it is written, so that the last join does not move the texts again.
     name = f"ngram_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks(docs).write.option("compression", "zstd").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    packed = spark.table(name)
-    stored = staged(sharded(model(counted(packed)), shards), "ngram-arrays")
-    got = staged(answers(requests(packed, shards), stored), "ngram-answers")
+    at = f"{shared_dir(spark)}/{name}"
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("lang", T.StringType()), *(T.StructField(c, T.LongType()) for c in STATS), T.StructField("n_chars", T.LongType()), T.StructField("perplexity", T.DoubleType())])
 
@@ -280,36 +297,70 @@ def perplexities(docs: DataFrame, shards: int | None = None) -> DataFrame:
                 if len(u):
                     logs[order] = np.frombuffer(b"".join(p.as_py() for p in g.values), "<f4")
                 sums, counts = np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
-                for texts, langs, first in parts(table):
-                    h, owner, *_ = grams(texts, langs)
+                for pieces, langs, rows in parts(table):
+                    h, owner, *_ = grams(pieces, langs)
                     if len(h):
                         own, place = keyed(h)
-                        sums[first : first + len(texts)] = np.bincount(owner, logs[np.searchsorted(u, own)][place], minlength=len(texts))
-                        counts[first : first + len(texts)] = np.bincount(owner, minlength=len(texts))
+                        np.add.at(sums, rows, np.bincount(owner, logs[np.searchsorted(u, own)][place], minlength=len(pieces)))
+                        np.add.at(counts, rows, np.bincount(owner, minlength=len(pieces)))
                 ppl = np.exp(-sums / np.maximum(counts, 1))
                 cols = [table.column(c).combine_chunks() for c in ("doc_id", "lang", *STATS)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array(ppl, mask=counts == 0)], names=schema.names)
 
-    both = packed.join(got.hint("shuffle_hash"), "block", "left")
-    none = F.expr("cast(array() as array<binary>)")
-    return both.select("data", "h", F.coalesce("got", none).alias("got")).mapInArrow(run, schema)
-
-
-def judged(docs: DataFrame, reach: float = REACH, min_docs: int = MIN_DOCS, max_langs: int = MAX_LANGS, shards: int | None = None) -> DataFrame:
-    """The columns of ``perplexities`` with base_failed, low, high (the band) and kept."""
-    spark = docs.sparkSession
+    try:
+        blocks(docs).write.option("compression", "zstd").bucketBy(buckets, "block").option("path", at).saveAsTable(name)
+        packed = spark.table(name)
+        scored, made = model(counted(packed))
+        stored = staged(sharded(scored, shards), "ngram-arrays")
+        forget(*made)
+        got = staged(answers(requests(packed, shards), stored), "ngram-answers")
+        both = packed.join(got.hint("shuffle_hash"), "block", "left")
+        none = F.expr("cast(array() as array<binary>)")
+        out = both.select("data", "h", F.coalesce("got", none).alias("got")).mapInArrow(run, schema)
+        lang = F.when(F.col("lang") != "", F.expr("substring(lang, 2)"))
+        done = staged(out.withColumn("lang", lang), "perplexities")
+        forget(stored, got)
+        return done
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, at)
+
+
+def quantiles(values: DataFrame, by: list[str], at: tuple[float, ...]) -> DataFrame:
+    """``by`` columns, n and q0, q1, ...: exact quantiles of ``x`` rounded to 1 / GRAIN, from counts of the
+    rounded values (the values' range bounds how many there are), so that no group of rows meets in a task."""
+    counts = values.groupBy(*by, F.round(F.col("x") * GRAIN).cast("long").alias("b")).agg(F.count("*").alias("k"))
+    every = W.partitionBy(*by)
+    run = counts.withColumn("upto", F.sum("k").over(every.orderBy("b"))).withColumn("n", F.sum("k").over(every))
+    cols = [(F.min(F.when(F.col("upto") >= F.col("n") * p, F.col("b"))) / GRAIN).alias(f"q{i}") for i, p in enumerate(at)]
+    return run.groupBy(*by).agg(F.first("n").alias("n"), *cols)
+
+
+def judged(docs: DataFrame, reach: float = REACH, steady: float = STEADY, prior: float = PRIOR, shards: int | None = None) -> DataFrame:
+    """The columns of ``perplexities`` with base_failed, low, high (the band for the text's length) and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = staged(perplexities(docs, shards).withColumn("base_failed", failed), "perplexities")
-    usable = scored.where("not base_failed and perplexity is not null").withColumn("x", F.log("perplexity"))
-    quart = F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-
-    def band(q: list[float]) -> tuple[float, float]:
-        wide = max(q[2] - q[0], 1e-3) / 4  # neither side is narrower than this
-        return float(np.exp(q[1] - reach * max(q[1] - q[0], wide))), float(np.exp(q[1] + reach * max(q[2] - q[1], wide)))
-
-    rows = usable.groupBy("lang").agg(F.count("*").alias("n"), quart.alias("q")).where(F.col("n") >= min_docs).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    every = usable.agg(quart.alias("q")).first().q
-    low, high = band(every) if every else (0.0, float("inf"))
-    bands = F.broadcast(spark.createDataFrame([(r.lang, *band(r.q)) for r in rows], "of string, low double, high double"))  # at most max_langs rows
-    out = scored.join(bands, scored["lang"] == bands["of"], "left").drop("of").withColumn("low", F.coalesce("low", F.lit(low))).withColumn("high", F.coalesce("high", F.lit(high)))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False)))
+    scored = perplexities(docs, shards).withColumn("base_failed", failed).withColumn("key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    usable = scored.where("not base_failed and perplexity is not null").select("key", F.log("perplexity").alias("x"), "n_chars")
+    length = F.greatest("n_chars", F.lit(1))
+    scale = F.sqrt(length / (1 + length / steady))
+    salt = F.pmod(F.xxhash64("n_words", "word_chars", "n_chars"), F.lit(SALTS)).cast("int")
+
+    def salted(df: DataFrame) -> DataFrame:
+        return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    median = staged(quantiles(usable, ["key"], (0.5,)).select("key", F.col("q0").alias("median")), "perplexity-medians")
+    usable = usable.withColumn("part", F.pmod(F.xxhash64("x", "n_chars"), F.lit(SALTS)).cast("int"))
+    met = usable.join(salted(median), ["key", "part"])
+    spread = staged(met.select("key", ((F.col("x") - F.col("median")) * scale).alias("x")), "perplexity-spreads")
+    own = quantiles(spread, ["key"], (0.25, 0.5, 0.75))
+    every = quantiles(spread.select(F.lit(0).alias("all"), "x"), ["all"], (0.25, 0.5, 0.75)).select("all", *(F.col(f"q{i}").alias(f"a{i}") for i in range(3)))
+    share = F.col("n") / (F.col("n") + prior)
+    mixed = [(share * F.col(f"q{i}") + (1 - share) * F.col(f"a{i}")).alias(f"q{i}") for i in range(3)]
+    bands = own.withColumn("all", F.lit(0)).join(every, "all").join(median, "key").select("key", "median", *mixed)
+    wide = F.greatest(F.col("q2") - F.col("q0"), F.lit(1e-3)) / 4  # neither side is narrower than this
+    bands = staged(bands.select("key", "median", (F.col("q1") - reach * F.greatest(F.col("q1") - F.col("q0"), wide)).alias("below"), (F.col("q1") + reach * F.greatest(F.col("q2") - F.col("q1"), wide)).alias("above")), "perplexity-bands")
+    out = scored.withColumn("part", salt).join(salted(bands), ["key", "part"], "left")
+    edge = lambda c: F.exp(F.col("median") + F.col(c) / scale)
+    out = out.withColumn("low", edge("below")).withColumn("high", edge("above"))
+    inside = ((F.log("perplexity") - F.col("median")) * scale).between(F.col("below"), F.col("above"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("key", "part", "median", "below", "above")
