@@ -11,7 +11,8 @@ steps, each written to the shared folder.
 
 Copies share a fingerprint and are one node from the start, so a huge group of copies costs
 nothing. Tiles come from a range partitioning by (band, count, fingerprint), which cuts even a
-band that holds a third of all fingerprints into equal parts.
+band that holds a third of all fingerprints into equal parts, and the tile pairs of such a band are
+dealt to parts of bounded work; so are the neighbours of a node with very many links.
 
 Defined cases: a null text or one without words has fingerprint zero, linked like any other; one
 to three words are one shingle; rows that repeat a ``doc_id`` each get a row; a null ``doc_id``
@@ -28,10 +29,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import slices, staged, with_workers
+from .base import forget, slices, staged, with_workers
 
 RADIUS, SHINGLE, TILE = 4, 4, 4096
+#: Tiles of one group that a part of it holds on the left side.
+GROUP = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -56,18 +60,21 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (doc_id) of every row and its fingerprint as a signed long: the last column, ``fp``."""
     with_workers(docs.sparkSession)
-    src = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    keep = ["doc_id"] if keep is None else keep
+    own = [f"c{i}" for i in range(len(keep))]
+    src = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, own)), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
-                fps = [fingerprint(x.as_py(), shingle) for x in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            for batch in slices(whole, "t"):
+                fps = [fingerprint(x.as_py(), shingle) for x in batch.column("t")]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=schema.names)
 
-    return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(run, schema).toDF(*keep, "fp")
 
 
 def tiles(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -157,13 +164,20 @@ def links_of(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int
 
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(u, v): pairs of fingerprints that connect whatever links of up to ``radius`` bits connect."""
-    packed = staged(tiles(nodes, radius, tile), "simhash-tiles")
-    a = packed.select("bk", F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("first").alias("a_first"), F.col("n").alias("a_n"), F.col("fps").alias("a_fps"))
-    b = packed.select(F.col("bk").alias("b_bk"), F.col("lo").alias("b_lo"), F.col("first").alias("b_first"), F.col("fps").alias("b_fps"))
+    found = staged(tiles(nodes, radius, tile), "simhash-tiles")
+    # A group of many tiles is spread over parts: each of its tiles belongs to one part and meets all
+    # the group's tiles there, so a part compares GROUP tiles with the others, however large the group.
+    many = found.groupBy("bk").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    packed = found.join(many, "bk")
+    part = F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")
+    a = packed.select("bk", part.alias("part"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("first").alias("a_first"), F.col("n").alias("a_n"), F.col("fps").alias("a_fps"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    b = packed.select(F.col("bk").alias("b_bk"), every.alias("b_part"), F.col("lo").alias("b_lo"), F.col("first").alias("b_first"), F.col("fps").alias("b_fps"))
     same = F.col("a_first") == F.col("b_first")
     after = (F.col("a_lo") < F.col("b_lo")) | ((F.col("a_lo") == F.col("b_lo")) & (F.col("a_first") < F.col("b_first")))
     near = F.col("b_lo") - F.col("a_hi") <= radius
-    pairs = a.join(b.hint("merge"), (F.col("bk") == F.col("b_bk")) & ((same & (F.col("a_n") > 1)) | (after & near)))
+    met = (F.col("bk") == F.col("b_bk")) & (F.col("part") == F.col("b_part"))
+    pairs = a.join(b.hint("merge"), met & ((same & (F.col("a_n") > 1)) | (after & near)))
     pairs = pairs.select("a_fps", F.when(~same, F.col("b_fps")).alias("b_fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,22 +203,29 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def starred(edges_: DataFrame, large: bool) -> DataFrame:
         """Edges (u, v) hold u > v. A node's smallest neighbour takes its larger, or smaller, neighbours."""
-        near = edges_.union(edges_.select("v", "u")) if large else edges_
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        joined = near.join(low.hint("merge"), F.col("u") == F.col("c"))
-        if large:
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
+        if not large:  # a node's smaller neighbours: few, as the large step has gathered them
+            low = edges_.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+            joined = edges_.join(low.hint("merge"), F.col("u") == F.col("c"))
             out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+            return out.where("u <> v").distinct()
+        # A hub may hold most links, so its neighbours are dealt to parts, and each part learns the hub's minimum.
+        near = edges_.union(edges_.select("v", "u")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
+        per_part = near.groupBy("u", "part").agg(F.min("v").alias("m"))
+        low = per_part.groupBy("u").agg(F.min("m").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        told = per_part.select("u", "part").join(low.hint("merge"), F.col("u") == F.col("c")).select("c", F.col("part").alias("of"), "m")
+        joined = near.where("v > u").join(told.hint("merge"), (F.col("u") == F.col("c")) & (F.col("part") == F.col("of")))
+        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
     before = state(pairs)
     while True:
-        pairs = staged(starred(pairs, large=True), "stars")
-        pairs = staged(starred(pairs, large=False), "stars")
-        now = state(pairs)
+        larger = staged(starred(pairs, large=True), "stars")
+        smaller = staged(starred(larger, large=False), "stars")
+        forget(pairs, larger)
+        pairs, now = smaller, state(smaller)
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
