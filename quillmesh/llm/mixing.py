@@ -100,22 +100,22 @@ def schedule(spark: SparkSession, rows: list[dict], slots: int) -> DataFrame:
     return ranked.unionByName(spark.createDataFrame(late, shape)) if late else ranked
 
 
-def sized_documents(docs: DataFrame, seed: int) -> DataFrame:
+def sized_documents(docs: DataFrame, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size and place in the shuffle; the text is read here and nowhere else."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("key"), F.xxhash64("text").alias("same"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("key"), F.xxhash64("text").alias("same"), *carry)
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = 256, seed: int = 17, max_sources: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = 256, seed: int = 17, max_sources: int = 100_000, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as (documents, pieces, slots).
 
-    documents: doc_id, same (hash of the text), size, source_size, target, taken, row, s. pieces:
+    documents: doc_id, same (hash of the text), size, source_size, target, taken, row, s and ``carry``. pieces:
     row, epoch, s, rank, first, words: which words of which document a block holds. slots: slot,
     s, rank. Joining pieces with slots on (s, rank) gives the mix in order. The blocks of a source
     hold the first ``target`` words of its repeated stream; slots left over at its end hold none.
     """
     spark = docs.sparkSession
-    sized = staged(sized_documents(docs, seed), "mix-sizes")
+    sized = staged(sized_documents(docs, seed, carry), "mix-sizes")
     rows, slots, n = plan(sized, share, most, weights, block, max_sources)
     order = schedule(spark, rows, slots)
     n_slots = {r.s: r.n for r in order.groupBy("s").agg(F.count("*").alias("n")).collect()}
@@ -128,10 +128,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     per_bin = keyed.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     up = W.partitionBy("s").orderBy("bin")
     before = per_bin.select("s", "bin", (F.sum("words").over(up) - F.col("words")).alias("words_before"), (F.sum("rows").over(up) - F.col("rows")).alias("rows_before"))
-    inside = W.partitionBy("s", "bin").orderBy("key", "doc_id", "size", "same")
+    inside = W.partitionBy("s", "bin").orderBy("key", "doc_id", "size", "same", *carry)
     running = inside.rowsBetween(W.unboundedPreceding, 0)
-    placed = keyed.select("doc_id", "same", "size", "source_size", "target", "s", "goal", "block", "bin", F.sum("size").over(running).alias("upto"), F.row_number().over(inside).alias("nth"))
-    placed = placed.join(before, ["s", "bin"]).select("doc_id", "same", "size", "source_size", "target", "s", "goal", "block", (F.col("words_before") + F.col("upto") - F.col("size")).alias("start"), F.concat_ws(":", "s", F.col("rows_before") + F.col("nth")).alias("row"))
+    placed = keyed.select("doc_id", "same", *carry, "size", "source_size", "target", "s", "goal", "block", "bin", F.sum("size").over(running).alias("upto"), F.row_number().over(inside).alias("nth"))
+    placed = placed.join(before, ["s", "bin"]).select("doc_id", "same", *carry, "size", "source_size", "target", "s", "goal", "block", (F.col("words_before") + F.col("upto") - F.col("size")).alias("start"), F.concat_ws(":", "s", F.col("rows_before") + F.col("nth")).alias("row"))
     placed = staged(placed, "mix-places")
     epochs = placed.where("size > 0 and goal > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("epoch"))
     begin = F.col("start") + F.col("epoch") * F.col("source_size")
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     low, high = F.greatest("a", F.expr("rank * block")), F.least("b", F.expr("(rank + 1) * block"))
     pieces = cut.select("row", "epoch", "s", "rank", (low - F.col("a")).alias("first"), (high - low).alias("words"))
     taken = pieces.join(order.select("s", "rank"), ["s", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    documents = placed.join(taken, "row", "left").select("doc_id", "same", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row", "s")
+    documents = placed.join(taken, "row", "left").select("doc_id", "same", *carry, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row", "s")
     return documents, pieces, order
 
 
@@ -148,16 +148,20 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
     A document that a full epoch takes comes whole; the one at which the mix of a source ends is
-    cut after the taken words (joined by single spaces). Rows alike in doc_id and text are told
-    apart by count only.
+    cut after the taken words (joined by single spaces). Each row is a document of its own, also
+    where others have the same id, text or source: ``docs`` is written once with a number for each row.
     """
-    taken, _, _ = mix(docs, **options)
-    times = taken.where("taken > 0").groupBy("doc_id", "same").agg(F.collect_list(F.struct("size", "taken")).alias("takes"))
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("same_"), own.alias("row_")).groupBy("id_", "same_").agg(F.first("row_").alias("row_"))
-    back = rows.join(times, rows["id_"].eqNullSafe(times["doc_id"]) & (rows["same_"] == times["same"])).select("row_", F.explode("takes").alias("take"))
-    parts = back.select("row_", "take", F.explode(F.expr("sequence(0L, (take.taken - 1) div take.size)")).alias("epoch"))
-    words = F.expr("least(take.size, take.taken - epoch * take.size)")
-    text = F.when(words == F.col("take.size"), F.col("row_.text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("row_.text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " "))
-    fresh = {"text": text, "n_chars": F.length(text).cast("long")}
-    return parts.select(*(fresh.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns))
+    names = docs.columns
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    numbered = staged(docs.select(F.monotonically_increasing_id().alias("row_"), own.alias("own")), "mix-rows")
+    at = {c: f"own.c{i}" for i, c in enumerate(names)}
+    src = numbered.select("row_", *(F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")))
+    taken, _, _ = mix(src, carry=("row_",), **options)
+    take = taken.where("taken > 0").select(F.col("row_").alias("of_"), "size", "taken")
+    back = numbered.join(take.hint("merge"), F.col("row_") == F.col("of_"))
+    parts = back.select("own", "size", "taken", F.explode(F.expr("sequence(0L, (taken - 1) div size)")).alias("epoch"))
+    words = F.expr("least(size, taken - epoch * size)")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(at["text"]), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    text = F.when(words == F.col("size"), F.col(at["text"])).otherwise(cut)
+    fresh = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return parts.select(*(fresh.get(c, F.col(at[c])).alias(c) for c in names))
