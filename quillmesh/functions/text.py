@@ -77,10 +77,6 @@ def is_test_path(path: Column) -> Column:
     return F.reduce(F.array(*(path.contains(p) for p in rules.TEST_PATHS)), F.lit(False), lambda a, b: a | b)
 
 
-def like_escaped(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\%_])", r"\\\\$1")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -56,43 +55,94 @@ def whole_files(files: DataFrame, most: int = MAX_CHUNK_CHARS, least: int = MIN_
     return short.unionByName(some.where(F.length("content") > most).mapInPandas(pack, SHAPE))
 
 
-def headings(files: DataFrame) -> DataFrame:
-    """Sections of ``#`` headings: from a heading to before the next one of its level or higher; the prelude first."""
-    each = files.select("rel_path", lines(F.col("content")).alias("all"), F.size(lines(F.col("content"))).alias("n"))
-    marks = each.select("rel_path", "all", "n", F.posexplode("all").alias("pos", "line")).where(F.col("line").rlike(r"^#{1,6}\s+\S"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))
-    title = F.regexp_extract("line", r"^#{1,6}\s+(.+?)\s*#*\s*$", 1)
-    heads = marks.select("rel_path", "all", "n", (F.col("pos") + 1).alias("start_line"), level.alias("level"), title.alias("symbol"))
-    # The next heading of level <= own: one running minimum per level, read off by the row's own level.
-    after = W.partitionBy("rel_path").orderBy("start_line").rowsBetween(1, W.unboundedFollowing)
-    nexts = F.array(*(F.min(F.when(F.col("level") <= k, F.col("start_line"))).over(after) for k in range(1, 7)))
-    ended = heads.withColumn("nexts", nexts).withColumn("end_line", F.coalesce(F.element_at("nexts", F.col("level")) - 1, F.col("n")))
-    part = lambda a, b: F.array_join(F.slice("all", a, b - a + 1), "\n")
-    sections = ended.select("rel_path", F.lit("section").alias("kind"), "symbol", "start_line", "end_line", part(F.col("start_line"), F.col("end_line")).alias("content"))
-    first = heads.groupBy("rel_path").agg(F.min("start_line").alias("first"))
-    prelude = each.join(first, "rel_path", "left").withColumn("end_line", F.coalesce(F.col("first") - 1, F.col("n"))).where("end_line >= 1")
-    opened = prelude.select("rel_path", F.lit("document").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("start_line"), "end_line", part(F.lit(1), F.col("end_line")).alias("content")).where(F.trim("content") != "")
-    return opened.unionByName(sections)
+HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+
+
+def headings(files: DataFrame, most: int | None = None) -> DataFrame:
+    """Sections of ``#`` headings: from a heading to before the next one of its level or higher; the prelude first.
+
+    ``parent_line`` is where the nearest section around a section starts. Spans come from the array of a
+    document's headings and its text is cut in place, so nothing is shuffled. With ``most``, a longer
+    section comes as ``section_part`` rows (packed lines), which keep its symbol and parent.
+    """
+    split = files.select("rel_path", lines(F.col("content")).alias("ls"))
+    mark = lambda x, i: F.when(x.rlike(HEADING), F.struct((i + 1).cast("int").alias("pos"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("title")))
+    heads = split.select("rel_path", "ls", F.size("ls").alias("n"), F.filter(F.transform("ls", mark), lambda h: h.isNotNull()).alias("heads"))
+    first = lambda xs, of: of(F.transform(xs, lambda x: x["pos"]))
+    after = lambda h: first(F.filter("heads", lambda o: (o["pos"] > h["pos"]) & (o["level"] <= h["level"])), F.array_min)
+    around = lambda h: first(F.filter("heads", lambda o: (o["pos"] < h["pos"]) & (o["level"] < h["level"])), F.array_max)
+    span = lambda kind, title, a, b, up: F.struct(F.lit(kind).alias("kind"), title.cast("string").alias("symbol"), a.cast("int").alias("start_line"), b.cast("int").alias("end_line"), up.cast("int").alias("parent_line"))
+    sections = F.transform("heads", lambda h: span("section", h["title"], h["pos"], F.coalesce(after(h) - 1, F.col("n")), around(h)))
+    opened = F.coalesce(F.try_element_at("heads", F.lit(1))["pos"] - 1, F.col("n"))
+    prelude = F.when(opened >= 1, F.array(span("document", F.lit(None), F.lit(1), opened, F.lit(None)))).otherwise(F.slice(F.array(span("document", F.lit(None), F.lit(1), F.lit(1), F.lit(None))), 1, 0))
+    spans = heads.select("rel_path", "ls", F.concat(prelude, sections).alias("spans"))
+    cut = F.transform("spans", lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "symbol", "start_line", "end_line", "parent_line")), F.array_join(F.slice("ls", x["start_line"], x["end_line"] - x["start_line"] + 1), "\n").alias("content")))
+    out = spans.select("rel_path", F.explode(cut).alias("c")).select("rel_path", "c.*")
+    if most is None:
+        return out
+    fits = F.length("content") <= most
+    shape, names = ", ".join(f"{c} {t}" for c, t in out.dtypes), out.columns
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [
+                (r.rel_path, f"{r.kind}_part", r.symbol, r.start_line + a - 1, r.start_line + b - 1, None if pd.isna(r.parent_line) else int(r.parent_line), t)
+                for r in f.itertuples(index=False) for a, b, t in pack_lines(r.content, most)
+            ]
+            yield pd.DataFrame(rows, columns=names).astype({"parent_line": "Int32"})
+
+    return out.where(fits).unionByName(out.where(~fits).mapInPandas(pack, shape))
 
 
 def tag_blocks(files: DataFrame, tags: tuple[str, ...] = ("script", "template", "style")) -> DataFrame:
-    """The bodies of top-level ``<tag …>…</tag>`` blocks, in order within each tag."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("content", F.lit(rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>"), F.lit(1)), lambda b, i: F.struct(F.lit(f"component_{t}").alias("kind"), (i + 1).alias("nth"), b.alias("content"))) for t in tags)))  # noqa: B023
-    return files.select("rel_path", F.explode(found).alias("b")).select("rel_path", "b.kind", "b.nth", "b.content")
+    """The bodies of top-level ``<tag ...>...</tag>`` blocks, in order within each tag, with the lines they stand on.
+
+    ``setup`` tells blocks whose tag has that attribute. Where a block starts follows from the lengths
+    of what stands before it: the text is split at the blocks themselves.
+    """
+    per = []
+    for t in tags:
+        whole = rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>"
+        blocks, gaps = F.regexp_extract_all("content", F.lit(whole), F.lit(0)), F.split("content", whole)
+        # Line of the opening tag: line feeds in the gaps up to it and in the blocks before it.
+        feeds = lambda xs: F.aggregate(F.transform(xs, lambda x: F.size(F.split(x, "\n")) - 1), F.lit(0), lambda a, x: a + x)
+        item = lambda x, i: F.struct(
+            F.lit(f"component_{t}").alias("kind"), (i + 1).alias("nth"),  # noqa: B023
+            (1 + feeds(F.slice(gaps, F.lit(1), i + 1)) + feeds(F.slice(blocks, F.lit(1), i))).alias("start_line"),  # noqa: B023
+            F.regexp_extract(x, rf"(?is)\A<{t}\b([^>]*)>", 1).rlike(r"(?i)\bsetup\b").alias("setup"),  # noqa: B023
+            F.regexp_extract(x, rf"(?is)\A<{t}\b[^>]*>(.*?)</{t}\s*>\z", 1).alias("content"), x.alias("whole"))  # noqa: B023
+        per.append(F.transform(blocks, item))
+    each = files.select("rel_path", F.explode(F.flatten(F.array(*per))).alias("b"))
+    end = F.col("b.start_line") + F.size(F.split("b.whole", "\n")) - 1
+    return each.select("rel_path", "b.kind", "b.nth", "b.content", "b.start_line", end.alias("end_line"), "b.setup")
+
+
+def components(files: DataFrame, most_lines: int = 150) -> DataFrame:
+    """Single-file components: short ones whole, longer ones by block (``.setup`` marks such scripts), without blocks as a file."""
+    n = F.size(lines(F.col("content")))
+    short = files.where(n <= most_lines).select("rel_path", F.lit("component").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("start_line"), n.alias("end_line"), "content")
+    long = files.where(n > most_lines).select("rel_path", "content")
+    some = F.lit(False)
+    for t in ("script", "template", "style"):
+        some |= F.col("content").rlike(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>")
+    blocks = tag_blocks(long.where(some))
+    named = blocks.select("rel_path", "kind", F.when(F.col("setup"), F.lit("setup")).cast("string").alias("symbol"), "start_line", "end_line", "content")
+    return short.unionByName(named).unionByName(whole_files(long.where(~some)))
 
 
 def scenarios(files: DataFrame) -> DataFrame:
-    """Gherkin: the feature up to its first part, then each part up to the next."""
+    """Gherkin: the feature up to its first part, then each part up to the next; cut in place, without a shuffle."""
     start = r"^\s*(Scenario Outline|Scenario|Background|Rule|Examples?|Feature):\s*(.*)$"
-    each = files.select("rel_path", lines(F.col("content")).alias("all"), F.size(lines(F.col("content"))).alias("n"))
-    marks = each.select("rel_path", "all", "n", F.posexplode("all").alias("pos", "line")).where(F.col("line").rlike(start) & ~F.col("line").rlike(r"^\s*Examples?:\s*$"))
-    word, title = F.regexp_extract("line", start, 1), F.trim(F.regexp_extract("line", start, 2))
-    by = W.partitionBy("rel_path").orderBy("start_line")
-    heads = marks.select("rel_path", "all", "n", (F.col("pos") + 1).alias("start_line"), word.alias("word"), title.alias("title"))
-    spans = heads.withColumn("end_line", F.coalesce(F.lead("start_line").over(by) - 1, F.col("n"))).withColumn("feature", F.first(F.when(F.col("word") == "Feature", F.col("title")), ignorenulls=True).over(W.partitionBy("rel_path")))
-    kind = F.lower(F.regexp_replace("word", " ", "_"))
-    symbol = F.when(F.col("word") == "Feature", F.col("title")).otherwise(F.concat_ws(" :: ", "feature", "title"))
-    return spans.select("rel_path", kind.alias("kind"), symbol.alias("symbol"), "start_line", "end_line", F.array_join(F.slice("all", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("content"))
+    split = files.select("rel_path", lines(F.col("content")).alias("ls"))
+    is_mark = lambda x: x.rlike(start) & ~x.rlike(r"^\s*Examples?:\s*$")
+    mark = lambda x, i: F.when(is_mark(x), F.struct((i + 1).cast("int").alias("pos"), F.regexp_extract(x, start, 1).alias("word"), F.trim(F.regexp_extract(x, start, 2)).alias("title")))
+    marks = split.select("rel_path", "ls", F.size("ls").alias("n"), F.filter(F.transform("ls", mark), lambda m: m.isNotNull()).alias("marks"))
+    feature = F.try_element_at(F.filter("marks", lambda m: m["word"] == "Feature"), F.lit(1))["title"]
+    known = marks.select("*", feature.alias("feature"))
+    end = lambda i: F.coalesce(F.try_element_at("marks", i + 2)["pos"] - 1, F.col("n"))
+    symbol = lambda m: F.when(m["word"] == "Feature", m["title"]).otherwise(F.concat_ws(" :: ", "feature", m["title"]))
+    part = lambda m, i: F.struct(F.lower(F.regexp_replace(m["word"], " ", "_")).alias("kind"), symbol(m).alias("symbol"), m["pos"].alias("start_line"), end(i).alias("end_line"), F.array_join(F.slice("ls", m["pos"], end(i) - m["pos"] + 1), "\n").alias("content"))
+    return known.select("rel_path", F.explode(F.transform("marks", part)).alias("c")).select("rel_path", "c.*")
 
 
 def python_units(source: str) -> list[tuple[str, str, int, int]]:
@@ -132,18 +182,22 @@ def python_chunks(files: DataFrame) -> DataFrame:
     return files.select("rel_path", "content").mapInPandas(run, SHAPE)
 
 
-def dispatch(files: DataFrame) -> DataFrame:
-    """Each file to the chunker of its language (rel_path, language, content), blank files to none; then ids."""
-    some = files.where(F.trim("content") != "")
+def dispatch(files: DataFrame, repo: Column | None = None, most: int = MAX_CHUNK_CHARS, least: int = MIN_CHUNK_CHARS) -> DataFrame:
+    """Each file to the chunker of its language (rel_path, language, content), blank files to none; then ids.
+
+    ``parent_chunk_id`` links a section to the one around it. Chunks of under ``least`` characters go.
+    """
+    some = files.where(F.col("content").rlike(r"\S"))
     special = ("markdown", "gherkin", "vue", "python")
     of = lambda x: some.where(F.col("language") == x)
-    vue = tag_blocks(of("vue")).select("rel_path", "kind", F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("start_line"), F.size(lines(F.col("content"))).alias("end_line"), "content")
-    rest = whole_files(some.where(~F.coalesce(F.col("language"), F.lit("")).isin(*special)))
-    parts = [headings(of("markdown")), scenarios(of("gherkin")), vue, python_chunks(of("python")), rest]
+    rest = whole_files(some.where(~F.coalesce(F.col("language"), F.lit("")).isin(*special)), most, least)
+    parts = [headings(of("markdown"), most), scenarios(of("gherkin")), components(of("vue")), python_chunks(of("python")), rest]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return identified(out)
+        out = out.unionByName(p, allowMissingColumns=True)
+    kept = identified(out.where((F.length(F.trim("content")) >= least) | (F.col("kind") != "section")), repo)
+    up = kept.where("kind = 'section'").select(F.col("rel_path").alias("p_path"), F.col("start_line").alias("p_line"), F.col("chunk_id").alias("parent_chunk_id"))
+    return kept.join(up, (F.col("rel_path") == F.col("p_path")) & (F.col("parent_line") == F.col("p_line")), "left").drop("p_path", "p_line", "parent_line")
 
 
 def identified(chunks: DataFrame, repo: Column | None = None) -> DataFrame:

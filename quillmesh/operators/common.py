@@ -32,6 +32,25 @@ def pair_all(left: DataFrame, right: DataFrame, key: str, rows: int = BROADCAST_
     return salted.join(repeated, "salt_").drop("salt_")
 
 
+def containing(texts: DataFrame, needles: DataFrame, column: str, needle: str) -> DataFrame:
+    """Rows of ``texts`` joined with the rows of ``needles`` whose ``needle`` the lower-cased ``column`` holds.
+
+    A needle of three or more characters meets only the texts that hold its first three (an equi-join,
+    then the test); shorter ones meet every text.
+    """
+    low = needles.withColumn("needle_", F.lower(needle))
+    size = F.length("needle_")
+    n = low.agg(F.count_if(size >= 3), F.count_if(size < 3)).first()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(column) - 2), lambda i: F.substring(F.lower(F.col(column)), i, F.lit(3))))
+    some = texts.where(F.length(column) >= 3).withColumn("gram_", F.explode(grams))
+    long = low.where(size >= 3).withColumn("gram_", F.substring("needle_", 1, 3))
+    met = some.join(F.broadcast(long) if n[0] <= BROADCAST_ROWS else long, "gram_")  # counted above
+    found = met.where(F.contains(F.lower(column), F.col("needle_"))).drop("gram_", "needle_")
+    if not n[1]:
+        return found
+    return found.unionByName(pair_all(texts, low.where(size < 3), column).where(F.contains(F.lower(column), F.col("needle_"))).drop("needle_"))
+
+
 def ranked(df: DataFrame, by: str | list[str], *order: Column | str, k: int | None = None, name: str = "rank") -> DataFrame:
     """Numbers rows from 1 within ``by``; with ``k`` only the first k (pruned before the shuffle)."""
     keys = [by] if isinstance(by, str) else by
@@ -42,7 +61,10 @@ def ranked(df: DataFrame, by: str | list[str], *order: Column | str, k: int | No
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="quillmesh-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="quillmesh-")  # local tests: one process, one disk
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

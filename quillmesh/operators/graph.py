@@ -13,11 +13,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rules import NODE_TEST_PATHS
-from .common import maybe_broadcast, pair_all, ranked, written
+from .common import containing, maybe_broadcast, ranked, written
 
 CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
 
 
+def loaded(nodes: DataFrame, edges: DataFrame) -> dict[str, bool]:
+    """Gates: whether there is a graph at all, and whether it says why anything is so."""
+    there = lambda df: not df.limit(1).isEmpty()
+    return {"graph": there(nodes), "rationale": there(edges.where("relation = 'rationale_for'"))}
+
+
+def community_of(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, community_id) of the nodes that the names in ``asked`` (query_id, name) resolve to."""
+    own = resolve(nodes, asked).select("query_id", "node_id")
+    return own.join(nodes.select("node_id", "community_id"), "node_id").where("community_id is not null").select("query_id", "community_id")
+
+
 def trusted(edges: DataFrame, confidence: tuple[str, ...] = ("EXTRACTED",)) -> DataFrame:
     """Edges of the given confidences; unknown ones fall back to EXTRACTED."""
     wanted = [c for c in confidence if c in CONFIDENCES] or ["EXTRACTED"]
@@ -26,11 +38,10 @@ def trusted(edges: DataFrame, confidence: tuple[str, ...] = ("EXTRACTED",)) -> D
 
 def resolve(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, node_id, label, tier): exact label, else the longest ending in ``.name``, else the shortest holding it."""
-    pairs = pair_all(nodes.where(F.col("label").isNotNull()).select("node_id", "label"), asked.select("query_id", "name"), "node_id")
+    found = containing(nodes.where(F.col("label").isNotNull()).select("node_id", "label"), asked.select("query_id", "name"), "label", "name")
     low, name = F.lower("label"), F.lower("name")
-    tier = F.when(F.col("label") == F.col("name"), 0).when(F.endswith(low, F.concat(F.lit("."), name)), 1).when(F.contains(low, name), 2)
-    size = F.length("label")
-    found = pairs.withColumn("tier", tier).where(F.col("tier").isNotNull())
+    tier = F.when(F.col("label") == F.col("name"), 0).when(F.endswith(low, F.concat(F.lit("."), name)), 1).otherwise(2)
+    size, found = F.length("label"), found.withColumn("tier", tier)
     return ranked(found, "query_id", "tier", F.when(F.col("tier") == 1, -size).otherwise(size), "node_id", k=1).select("query_id", "node_id", "label", "tier")
 
 
@@ -106,9 +117,9 @@ def trace(edges: DataFrame, nodes: DataFrame, features: DataFrame, max_paths: in
     """(query_id, entry, entry_rank, node_id, depth, step): entries by token overlap with the label, then
     what they call, ``fan_out`` calls a node by id, up to ``max_depth`` deep and ``chain`` nodes an entry."""
     tokens = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("feature", "/", " ")), r"\s+"), lambda t: F.length(t) >= 3))
-    asked = features.select("query_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    pairs = pair_all(nodes.where(F.col("label").isNotNull()).select("node_id", "label"), asked, "node_id")
-    scored = pairs.withColumn("score", F.size(F.filter("tokens", lambda t: F.contains(F.lower("label"), t)))).where("score > 0")
+    asked = features.select("query_id", F.explode(tokens).alias("token"))
+    pairs = containing(nodes.where(F.col("label").isNotNull()).select("node_id", "label"), asked, "label", "token")
+    scored = pairs.groupBy("query_id", "node_id").agg(F.count("*").alias("score"))
     entries = ranked(scored, "query_id", F.desc("score"), "node_id", k=max(1, min(max_paths, 20)), name="entry_rank").select("query_id", F.col("node_id").alias("entry"), "entry_rank")
     entries = written(entries, "entries")
     calls = trusted(edges, confidence).where("relation = 'calls'").select("source", "target").distinct()

@@ -36,11 +36,11 @@ def delete_paths(chunks: DataFrame, paths: DataFrame, by_repo: bool = False) ->
     return chunks.join(maybe_broadcast(paths), ["repo", "rel_path"] if by_repo else "rel_path", "left_anti")
 
 
-def rename_paths(chunks: DataFrame, renames: DataFrame) -> DataFrame:
-    """Moves chunks (old_path -> new_path): path and id change, content and vectors stay."""
+def rename_paths(chunks: DataFrame, renames: DataFrame, repo: str | None = None) -> DataFrame:
+    """Moves chunks (old_path -> new_path): path and id change, content and vectors stay. ``repo`` is the key that ids are made with."""
     moved = chunks.join(maybe_broadcast(renames), chunks["rel_path"] == renames["old_path"], "left")
     path = F.coalesce("new_path", "rel_path")
-    fresh = F.when(F.col("new_path").isNotNull() & (F.col("new_path") != F.col("rel_path")), text.chunk_id(path, F.col("start_line"), F.col("end_line"), F.col("content_hash"))).otherwise(F.col("chunk_id"))
+    fresh = F.when(F.col("new_path").isNotNull() & (F.col("new_path") != F.col("rel_path")), text.chunk_id(path, F.col("start_line"), F.col("end_line"), F.col("content_hash"), F.lit(repo) if repo else None)).otherwise(F.col("chunk_id"))
     return moved.withColumns({"chunk_id": fresh, "rel_path": path}).drop("old_path", "new_path")
 
 
@@ -63,12 +63,11 @@ def file_states(current: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``state``: new, changed, unchanged; and the stored rows that are gone as removed. Null attributes are not compared."""
     cols = ("mtime", "size_bytes", "enricher_id", "embedder_model")
     prior = stored.select("rel_path", F.lit(True).alias("known"), *(F.col(c).alias(f"old_{c}") for c in cols))
-    both = current.join(prior, "rel_path", "full_outer")
+    both = current.withColumn("here", F.lit(True)).join(prior, "rel_path", "full_outer")
     differs = F.lit(False)
     for c in cols:
         differs |= F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
-    present = F.coalesce(*(F.col(c).isNotNull() for c in ("mtime",)))
-    state = F.when(~present, "removed").when(F.col("known").isNull(), "new").when(differs, "changed").otherwise("unchanged")
+    state = F.when(F.col("here").isNull(), "removed").when(F.col("known").isNull(), "new").when(differs, "changed").otherwise("unchanged")
     return both.select("rel_path", state.alias("state"))
 
 

@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from .common import maybe_broadcast, pair_all, ranked
+from .common import containing, maybe_broadcast, pair_all, ranked
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-# -- inverted index ------------------------------------------------------------------------
-def postings(docs: DataFrame, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
-    """(term, doc_id, tf); the doc's terms are counted in place before the shuffle."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(text.terms(F.col(content))).alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-
-
-def doc_lengths(docs: DataFrame, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
-    """(doc_id, dl): no shuffle."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.size(text.terms(F.coalesce(content, F.lit("")))).cast("long").alias("dl"))
-
-
+# -- inverted index, made for one search (``index`` keeps one) -----------------------------------
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score) for ``queries`` (query_id, query): Okapi BM25, repeats in a query count.
 
@@ -47,12 +41,58 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, doc_id: str = "doc_id
 
 
 # -- dense ---------------------------------------------------------------------------------
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, score=text.l2_score, least: float | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): exact neighbours; inputs (vec_id, embedding), (query_id, query_vec)."""
-    pairs = pair_all(vectors.select("vec_id", "embedding"), queries.select("query_id", "query_vec"), "vec_id")
-    scored = pairs.where(F.size("embedding") == F.size("query_vec")).select("query_id", "vec_id", F.round(score(F.col("embedding"), F.col("query_vec")), 6).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
+def _packs(rows: DataFrame, ident: str, vector: str, size: int) -> DataFrame:
+    """(dim, ids, vs): up to ``size`` vectors of one dimension in a row; null vectors and those with nulls are left out."""
+    src = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    shape = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("ids", T.ArrayType(src.schema["id"].dataType)), T.StructField("vs", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
+                dims = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+                for d in np.unique(dims):
+                    own = batch.filter(pa.array(dims == d))
+                    flat = own.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(d)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column("id")), pa.array([flat.tobytes()], pa.binary())],
+                        names=["dim", "ids", "vs"])
+
+    return src.mapInArrow(run, shape)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, score: str = "l2", least: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): exact neighbours; inputs (vec_id, embedding), (query_id, query_vec).
+
+    ``score`` is ``l2`` (max(0, 1 - d**2 / 2)) or ``cosine`` (0 for zero vectors). Packs of vectors meet packs
+    of queries of their dimension, and one matrix product gives all their scores; each pack of
+    vectors passes on a query's k best and their ties, so what is ranked at the end is small.
+    """
+    v, q = _packs(vectors, "vec_id", "embedding", 4096), _packs(queries, "query_id", "query_vec", 1024)
+    pairs = pair_all(v, q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), "vs", rows=16).where(F.col("dim") == F.col("q_dim"))
+    id_type, q_type = v.schema["ids"].dataType.elementType, q.schema["ids"].dataType.elementType
+    shape = T.StructType([T.StructField("query_id", q_type), T.StructField("vec_id", id_type), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, ids, vs, _, q_ids, q_vs = (c[i] for c in batch.columns)
+                a, b = (np.frombuffer(x.as_py(), "<f8").reshape(-1, dim.as_py()) if dim.as_py() else np.zeros((len(y), 0)) for x, y in ((vs, ids), (q_vs, q_ids)))
+                na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+                s = b @ a.T
+                if score == "cosine":
+                    n = np.sqrt(nb)[:, None] * np.sqrt(na)[None, :]
+                    s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+                else:
+                    s = np.maximum(0.0, 1 - (nb[:, None] + na[None, :] - 2 * s) / 2)
+                s = np.round(s, 6) + 0.0
+                ok = s >= least if least is not None else np.ones(s.shape, bool)
+                if s.shape[1] > k:
+                    ok &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
+                x, y = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([q_ids.values.take(pa.array(x)), ids.values.take(pa.array(y)), pa.array(s[x, y])], names=shape.names)
+
+    scored = pairs.select("dim", "ids", "vs", "q_dim", "q_ids", "q_vs").mapInArrow(run, shape)
     return ranked(scored, "query_id", F.desc("score"), "vec_id", k=k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -64,27 +104,33 @@ def check_dimension(vectors: DataFrame, dim: int, column: str = "embedding") ->
 # -- identifiers ---------------------------------------------------------------------------
 def symbol_match(symbols: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, chunk_id, symbol, score): number of identifier tokens found in the symbol."""
-    asked = queries.select("query_id", text.identifier_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
-    pairs = pair_all(symbols.where(F.col("symbol").isNotNull()).select("chunk_id", "symbol"), asked, "chunk_id")
-    found = F.size(F.filter("tokens", lambda t: F.contains(F.lower("symbol"), t))).cast("long")
-    scored = pairs.select("query_id", "chunk_id", "symbol", found.alias("score")).where(F.col("score") > 0)
-    return ranked(scored, "query_id", F.desc("score"), F.length("symbol"), "chunk_id", k=k)
+    asked = queries.select("query_id", F.explode(text.identifier_tokens(F.col("query"))).alias("token"))
+    found = containing(symbols.where(F.col("symbol").isNotNull()).select("chunk_id", "symbol"), asked, "symbol", "token")
+    scored = found.groupBy("query_id", "chunk_id", "symbol").agg(F.count("*").alias("score"))
+    return ranked(scored, "query_id", F.desc("score"), F.length("symbol"), "chunk_id", k=k).select("query_id", "chunk_id", "symbol", "score", "rank")
 
 
 def symbol_lookup(symbols: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, chunk_id, symbol, tier): exact (0), last part (1), contained (2)."""
-    pairs = pair_all(symbols.where(F.col("symbol").isNotNull()).select("chunk_id", "symbol"), asked.select("query_id", "name"), "chunk_id")
+    pairs = containing(symbols.where(F.col("symbol").isNotNull()).select("chunk_id", "symbol"), asked.select("query_id", "name"), "symbol", "name")
     low, name = F.lower("symbol"), F.lower("name")
-    tier = F.when(F.col("symbol") == F.col("name"), 0).when(F.endswith(low, F.concat(F.lit("."), name)), 1).when(F.contains(low, name), 2)
-    found = pairs.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    return ranked(found, "query_id", "tier", F.length("symbol"), "chunk_id", k=k).select("query_id", "rank", "chunk_id", "symbol", "tier")
+    tier = F.when(F.col("symbol") == F.col("name"), 0).when(F.endswith(low, F.concat(F.lit("."), name)), 1).otherwise(2)
+    return ranked(pairs.withColumn("tier", tier), "query_id", "tier", F.length("symbol"), "chunk_id", k=k).select("query_id", "rank", "chunk_id", "symbol", "tier")
 
 
 # -- fusion --------------------------------------------------------------------------------
-def rrf(streams: list[DataFrame], k: int = 50, constant: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, rank, chunk_id) lists; ties by first occurrence, then id."""
-    every = reduce(DataFrame.unionByName, (s.select("query_id", "chunk_id", "rank").withColumn("stream", F.lit(i)) for i, s in enumerate(streams)))
-    fused = every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (F.col("rank") + constant)), 9).alias("score"), F.min(F.struct("stream", F.col("rank").alias("place"))).alias("first"))
+def rrf(streams: list[DataFrame], k: int = 50, constant: int = RRF_K, own_scores: bool = False) -> DataFrame:
+    """Reciprocal rank fusion of (query_id, rank, chunk_id) lists; ties by first occurrence, then id.
+
+    With ``own_scores`` (lists that have a score), a query that one list alone answers keeps that list's scores.
+    """
+    score = F.col("score").cast("double") if own_scores else F.lit(None).cast("double")
+    every = reduce(DataFrame.unionByName, (s.select("query_id", "chunk_id", "rank", score.alias("own")).withColumn("stream", F.lit(i)) for i, s in enumerate(streams)))
+    place = F.struct("stream", F.col("rank").alias("place"), "own")
+    fused = every.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (F.col("rank") + constant)), 9).alias("score"), F.min(place).alias("first"))
+    if own_scores:
+        alone = every.groupBy("query_id").agg((F.min("stream") == F.max("stream")).alias("alone"))
+        fused = fused.join(alone, "query_id").withColumn("score", F.when(F.col("alone"), F.col("first.own")).otherwise(F.col("score")))
     return ranked(fused, "query_id", F.desc("score"), "first.stream", "first.place", "chunk_id", k=k).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -97,7 +143,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, dense_k: int = 50
         bm25(chunks, asked, sparse_k, "chunk_id", "content").withColumnRenamed("doc_id", "chunk_id"),
         symbol_match(chunks, asked, symbol_k),
     ]
-    return rrf(streams, k)
+    return rrf(streams, k, own_scores=True)
 
 
 def fused_variants(search, variants: DataFrame, k: int = 10, wide: int = 50) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import rules, text
 from .operators import chunks as C
 from .operators import enrich, graph, ingest, reports, search
-from .operators.common import pair_all, ranked
+from .operators.common import maybe_broadcast, pair_all, ranked, shared_dir
 from .plans import cache, intent
 from .sources import files as sources
 from .streaming import watch
@@ -66,13 +67,13 @@ def bm25_topk(spark, d):
 DENSE = """
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM (
   SELECT q.vec_id AS query_id, v.vec_id, round({score}, 6) AS score
-  FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 20) q) {where}) WHERE rank <= {k}
+  FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) {where}) WHERE rank <= {k}
 """
 COS_SQL = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))))"
 
 
 def query_vectors(spark, d):
-    return read(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 @query(DENSE.format(score="greatest(0, 1 - list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) ** 2 / 2)", where="", k=10))
@@ -82,7 +83,7 @@ def dense_topk(spark, d):
 
 @query(DENSE.format(score=COS_SQL, where="WHERE score >= 0.3", k=20))
 def dense_threshold_cosine(spark, d):
-    return search.dense(read(spark, d, "embeddings"), query_vectors(spark, d), 20, text.cosine, 0.3)
+    return search.dense(read(spark, d, "embeddings"), query_vectors(spark, d), 20, "cosine", 0.3)
 
 
 SYMBOL_QUERIES = [(1, "where is the red ECONOMY widget"), (2, "smallRing of steel"), (3, "show the blue_bolt class"), (4, "is the of"), (5, "hotGear")]
@@ -238,7 +239,11 @@ def adjacency_merge(spark, d):
     return search.merge_adjacent(place)
 
 
-@query()
+@query(rf"""WITH {Q_BENCH}, {BM25_CTES},
+snip AS (SELECT doc_id, CASE WHEN length(text) > 480 THEN rtrim(substr(text, 1, 480), ' ') || '…' ELSE text END AS snippet FROM documents),
+want AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower({CAMEL_SQL.format(c="query")}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) > 1)) AS w FROM q),
+sc AS (SELECT b.query_id, b.rank AS old, b.doc_id, round(len(list_intersect(w, regexp_extract_all(lower(snippet), '[\p{{L}}\p{{N}}]+'))) / greatest(len(w), 1)::DOUBLE, 6) AS rerank_score FROM bm25 b JOIN snip USING (doc_id) JOIN want USING (query_id) WHERE rank <= 20)
+SELECT query_id, rank, doc_id, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old) AS rank FROM sc) WHERE rank <= 5""")
 def rerank_overlap(spark, d):
     asked = benchmark_queries(spark, d)
     hits = search.bm25(read(spark, d, "documents"), asked, 20).join(asked, "query_id").join(read(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet")), "doc_id")
@@ -300,9 +305,10 @@ def paragraph_chunks(spark, d):
 
 
 @query(r"""WITH p AS (SELECT page_id, unnest([{'kind': 'component_script', 'b': regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1)}, {'kind': 'component_style', 'b': regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style\s*>', 1)}], recursive := true) FROM pages)
-SELECT CAST(page_id AS VARCHAR) AS rel_path, kind, CAST(x.i AS INT) AS nth, x.b AS content FROM (SELECT page_id, kind, unnest(list_transform(b, lambda y, i: {'i': i, 'b': y})) AS x FROM p)""")
+SELECT CAST(page_id AS VARCHAR) AS rel_path, kind, CAST(x.i AS INT) AS nth, x.b AS content, CAST(1 + length(regexp_extract(html, '(?is)^(.*?)<' || substr(kind, 11) || '\b', 1)) - length(replace(regexp_extract(html, '(?is)^(.*?)<' || substr(kind, 11) || '\b', 1), chr(10), '')) AS INT) AS start_line
+FROM (SELECT page_id, kind, html, unnest(list_transform(b, lambda y, i: {'i': i, 'b': y})) AS x FROM p JOIN pages USING (page_id))""")
 def block_chunks(spark, d):
-    return C.tag_blocks(read(spark, d, "pages").select(F.col("page_id").cast("string").alias("rel_path"), F.col("html").alias("content")), ("script", "style"))
+    return C.tag_blocks(read(spark, d, "pages").select(F.col("page_id").cast("string").alias("rel_path"), F.col("html").alias("content")), ("script", "style")).select("rel_path", "kind", "nth", "content", "start_line")
 
 
 HEADED = r"regexp_replace(regexp_replace(html, '<h([1-6])[^>]*>', chr(10) || 'H\1 ', 'g'), '</h[1-6]>', chr(10), 'g')"
@@ -348,10 +354,19 @@ def ast_chunks(spark, d):
     return C.python_chunks(rows(spark, [("m.py", SOURCE)], "rel_path string, content string")).select("rel_path", "kind", "symbol", "start_line", "end_line")
 
 
-@query()
+DISPATCHED = [
+    ("a.feature", "feature", "Login", 1, 2, None), ("a.feature", "background", "Login :: ", 3, 4, None), ("a.feature", "scenario", "Login :: good", 5, 6, None),
+    ("a.feature", "scenario_outline", "Login :: many", 7, 9, None), ("a.feature", "rule", "Login :: strict", 10, 11, None), *((*u, None) for u in UNITS),
+    ("r.md", "document", None, 1, 1, None), ("r.md", "section", "One", 2, 5, None), ("r.md", "section", "Two of them", 4, 5, "One"), ("t.txt", "file", None, 1, 1, None),
+]
+
+
+@query(f"SELECT rel_path, kind, symbol, start_line, end_line, parent FROM (VALUES {values(DISPATCHED)}) AS t(rel_path, kind, symbol, start_line, end_line, parent)")
 def dispatched_chunks(spark, d):
-    files = rows(spark, [("a.feature", "gherkin", FEATURE), ("m.py", "python", SOURCE), ("r.md", "markdown", "intro\n# One\ntext\n## Two\nmore"), ("t.txt", None, "just some plain text, long enough"), ("blank.md", "markdown", " \n ")], "rel_path string, language string, content string")
-    return C.dispatch(files).select("rel_path", "kind", "symbol", "start_line", "end_line", "chunk_id")
+    files = rows(spark, [("a.feature", "gherkin", FEATURE), ("m.py", "python", SOURCE), ("r.md", "markdown", "intro\n# One\nsome text of it\n## Two of them\nand more text"), ("t.txt", None, "just some plain text, long enough"), ("blank.md", "markdown", " \n ")], "rel_path string, language string, content string")
+    made = C.dispatch(files)
+    up = made.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("symbol").alias("parent"))
+    return made.join(up, "parent_chunk_id", "left").select("rel_path", "kind", "symbol", "start_line", "end_line", "parent")
 
 
 # -- graph -------------------------------------------------------------------------------------
@@ -644,9 +659,31 @@ first AS (SELECT b.query_id, min(rank) AS r FROM bm25 b JOIN gold g ON b.query_i
 METRICS = "count(*) AS cases, round(avg(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr"
 
 
+def word_trigrams(words):
+    """Hashes of each word with the two after it."""
+    at = lambda i: F.element_at(words, i)
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+
+
+def held_passages(docs, asked):
+    """The pairs of documents and passages that they hold as they are.
+
+    A passage of five or more words meets the documents that hold its second to fourth word in a row
+    (words inside it, whatever stands around it); the text decides. Shorter ones meet all documents.
+    """
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    long = asked.withColumn("w_", words(F.col("query"))).where(F.size("w_") >= 5)
+    anchors = long.select("query_id", "query", F.xxhash64(*(F.element_at("w_", i) for i in (2, 3, 4))).alias("gram"))
+    grams = docs.withColumn("w_", words(F.col("text"))).where(F.size("w_") >= 3).select("doc_id", F.explode(F.array_distinct(word_trigrams(F.col("w_")))).alias("gram"))
+    met = grams.join(maybe_broadcast(anchors), "gram").select("doc_id", "query_id", "query")
+    pairs = met.join(docs, "doc_id").where(F.contains("text", F.col("query"))).select("doc_id", "source", "query_id", "query")
+    short = asked.where(F.size(words(F.col("query"))) < 5)
+    return pairs.unionByName(pair_all(docs.select("doc_id", "source", "text"), short, "doc_id").where(F.contains("text", F.col("query"))).drop("text"))
+
+
 def judged(spark, d):
-    docs, asked = read(spark, d, "documents"), benchmark_queries(spark, d)
-    pairs = pair_all(docs.select("doc_id", "source", "text"), asked, "doc_id").where(F.contains("text", F.col("query")))
+    docs, asked = read(spark, d, "documents").select("doc_id", "source", "text"), benchmark_queries(spark, d)
+    pairs = held_passages(docs, asked)
     path = F.concat_ws("/", "source", "doc_id")
     cases = pairs.groupBy("query_id").agg(F.collect_list(path).alias("expected_paths")).select("query_id", "expected_paths", F.array().cast("array<string>").alias("expected_symbols"), F.when(F.col("query_id") % 3 == 0, F.array(F.lit("third"))).alias("tags"))
     hits = search.bm25(docs, asked, 10).join(docs.select("doc_id", path.alias("rel_path"), F.lit(None).cast("string").alias("symbol")), "doc_id")
@@ -681,11 +718,13 @@ def debounce_sessions(spark, d):
 def stream_sessions(spark, d):
     """The same operator over a stream of the table, run to its end."""
     schema = read(spark, d, "events").schema
-    name = f"sessions_{abs(hash(d)) % 10**8}_{spark.sparkContext._jvm.System.nanoTime()}"
+    at = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{d}/events.parquet*")
-    q = watch.debounced(src, "3600 seconds", late="30 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/table")
+    found = watch.debounced(src, "3600 seconds", late="30 days")
+    q = found.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+    return spark.read.schema(found.schema).parquet(f"{at}/table").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
 
 ROUTES = [(1, "what calls the parse_file", "find_callers", "parse_file", 0.9), (2, "tests for Storage.search", "find_tests_for", "Storage.search", 0.9), (3, "show me the Chunker", "get_symbol", "Chunker", 0.9), (4, "how does the retry logic work", "trace_feature", "retry logic", 0.9), (5, "", "search_code", None, 1.0), (6, "best way to cache things in here", "search_code", None, 0.5), (7, "RrfFusion", "get_symbol", "RrfFusion", 0.9), (8, "what relates to Embedder", "find_related", "Embedder", 0.9)]
@@ -731,7 +770,14 @@ def hash_embeddings(spark, d):
     return read(spark, d, "documents").select("doc_id", text.hash_embedding(F.col("text")).alias("embedding"))
 
 
-@query()
+def _label_rounds(n):
+    out = "both_ AS (SELECT source, target FROM e UNION SELECT target, source FROM e), l0 AS (SELECT DISTINCT source AS node_id, source AS community FROM both_)"
+    for i in range(n):
+        out += f", v{i} AS (SELECT source, community, count(*) AS n FROM both_ JOIN l{i} ON target = node_id GROUP BY ALL), l{i + 1} AS (SELECT source AS node_id, community FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, community DESC) AS k FROM v{i}) WHERE k = 1)"
+    return out
+
+
+@query(f"WITH {GRAPH_SQL}, e AS (SELECT DISTINCT source, target FROM edges WHERE relation = 'located_in'), {_label_rounds(3)} SELECT * FROM l3")
 def communities_by_labels(spark, d):
     return graph.label_propagation(code_graph(spark, d)[1].where("relation = 'located_in'"), 3)
 
@@ -740,3 +786,6 @@ def communities_by_labels(spark, d):
 def file_outline(spark, d):
     t = read(spark, d, "conversations")
     return ranked(t.select("conv_id", F.concat(F.lit("conv"), "conv_id").alias("rel_path"), "turn", "role", text.snippet(F.col("text")).alias("snippet")), "conv_id", "turn", "role", name="place").drop("conv_id")
+
+
+from . import queries_engine  # noqa: E402, F401  registers its queries here

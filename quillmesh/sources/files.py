@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +25,40 @@ def indexed_files(files: DataFrame, ignore: list[str] | None = None) -> DataFram
     """Known language, 1 byte to the size limit, no NUL in the first bytes, not ignored; content as text."""
     known = files.withColumn("language", text.language_of(F.col("rel_path"))).where(F.col("language").isNotNull() & F.col("size_bytes").between(1, rules.MAX_FILE_BYTES))
     kept = known.where(~F.contains(F.substring("content", 1, rules.SNIFF_BYTES), F.lit(b"\x00")))
-    for p in ignore or []:
-        kept = kept.where(~F.col("rel_path").rlike(ignore_pattern(p)))
+    ignored = F.lit(False)
+    for p in ignore or []:  # the last line that matches decides; ! takes a path back
+        back = p.startswith("!")
+        ignored = F.when(F.col("rel_path").rlike(ignore_pattern(p[1:] if back else p)), F.lit(not back)).otherwise(ignored)
+    kept = kept.where(~ignored)
     return kept.withColumn("content", F.decode("content", "UTF-8"))
 
 
 def ignore_pattern(glob: str) -> str:
-    """One line of an ignore file as a regular expression over relative paths."""
-    anchored, folder = glob.startswith("/"), glob.endswith("/")
-    body = fnmatch.translate(glob.strip("/")).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z").replace(".*", "[^/]*")
-    return ("^" if anchored or "/" in glob.strip("/") else "(?:^|/)") + body + ("/" if folder else "(?:/|$)")
+    """One line of an ignore file as a regular expression over relative paths: ``*`` and ``?`` stay within a
+    name, ``**`` crosses folders, a slash at the end means folders, one before it the root."""
+    bare, out, i = glob.strip("/"), [], 0
+    while i < len(bare):
+        if bare.startswith("**/", i):
+            out.append("(?:.*/)?")
+            i += 3
+        elif bare.startswith("**", i):
+            out.append(".*")
+            i += 2
+        elif bare[i] == "[" and "]" in bare[i + 2 :]:
+            end = bare.index("]", i + 2)
+            inner = bare[i + 1 : end]
+            out.append("[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]")
+            i = end + 1
+        else:
+            out.append({"*": "[^/]*", "?": "[^/]"}.get(bare[i]) or re.escape(bare[i]))
+            i += 1
+    anchored = glob.startswith("/") or "/" in bare
+    return ("^" if anchored else "(?:^|/)") + "".join(out) + ("/" if glob.endswith("/") else "(?:/|$)")
+
+
+def read_ignore(bodies: list[str]) -> list[str]:
+    """The patterns of ignore files, in order; blank lines and # lines are none."""
+    return [x.strip() for body in bodies for x in body.splitlines() if x.strip() and not x.lstrip().startswith("#")]
 
 
 def parse_name_status(raw: DataFrame) -> DataFrame:
@@ -58,14 +81,14 @@ def golden_cases(lines: DataFrame) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a node-link JSON file; ids get the repo as prefix; ``links`` and ``edges`` are both read."""
+    """(nodes, edges) of a node-link JSON file; ids get the repo as prefix; edges stand under ``links`` or ``edges`` or both."""
     shape = "nodes array<struct<id: string, label: string, file_type: string, source_file: string, source_location: string>>, links array<struct<source: string, target: string, relation: string, confidence: string, confidence_score: double, context: string, source_file: string, source_location: string, weight: double>>, communities map<string, array<string>>, community_labels map<string, string>"
     edge = shape.split("links ")[1].split(", communities ")[0]
     g = spark.read.schema(f"{shape}, edges {edge}").option("multiLine", "true").json(path)
     prefix = lambda c: F.concat(F.lit(f"{repo}:"), c) if repo else c
     members = g.select(F.explode("communities").alias("cid", "ids"), "community_labels").select(F.col("cid").cast("int").alias("community_id"), F.element_at("community_labels", F.col("cid")).alias("community_label"), F.explode("ids").alias("id"))
     nodes = g.select(F.explode("nodes").alias("n")).select("n.*").join(members, "id", "left").withColumn("line", text.line_of(F.col("source_location")))
-    edges = g.select(F.explode(F.coalesce("links", "edges")).alias("e")).select("e.*").withColumns({k: prefix(F.col(k)) for k in ("source", "target")})
+    edges = g.select(F.explode(F.concat(*(F.coalesce(c, F.lit([]).cast(g.schema[c].dataType)) for c in ("links", "edges")))).alias("e")).select("e.*").withColumns({k: prefix(F.col(k)) for k in ("source", "target")})
     return nodes.withColumn("node_id", prefix(F.col("id"))).drop("id"), edges
 
 
