@@ -101,6 +101,7 @@ FROM prefix p JOIN placed x ON x.pair_id = p.pair_id GROUP BY p.pair_id, p.n
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_email`` to ``n_phone`` and ``base_sha256`` are of the base spans, ``n_spans`` and ``spans`` of all."""
     found = pii.find(table(spark, sf_dir, "documents"))
     seeds = F.filter("spans", lambda x: x["seed"])
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -109,7 +110,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(seeds, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(seeds), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(seeds), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
