@@ -1,9 +1,10 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are sorted by length and packed into buckets of near-equal length (one row with packed
-arrays each). A block of queries meets every bucket; what it has found so far gives each query a
-score to beat, and with the query's length and the bucket's largest length a local threshold on
-the cosine. Above 1 the bucket is skipped for the query. A high threshold selects candidates by
+arrays each). Each block of queries first meets the bucket of the longest vectors, which gives each
+query a score to beat from the start. A bucket that is too short for all queries of a block is not
+sent to it. In the others, the score to beat, the query's length and the bucket's largest length give
+a local threshold on the cosine. Above 1 the bucket is skipped for the query. A high threshold selects candidates by
 coordinates: on the query's largest coordinates a candidate must lie in the interval that the
 threshold leaves. A low one selects by length: only vectors long enough to reach the score.
 What is left is verified by integer products. Bounds are widened by a relative 1e-9, so rounding
@@ -15,8 +16,8 @@ set) are repeated; neither side is broadcast. Ties go to the smaller id.
 Defined cases: vectors that are null or hold a null or non-finite component take no part, neither
 as query nor as candidate, nor do rows with a null id; vectors meet only vectors of their own
 dimension; components beyond +-2**53 after scaling count as +-2**53, scores beyond a long as the
-nearest long; rows that repeat an id are candidates of their own (and equal ids are never each
-other's candidates); an empty table gives an empty result; other columns are not read.
+nearest long (the result's type holds no more); rows that repeat an id are rows of their own: each such
+query gets its own ranking, and all rows but the query's own are candidates; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import staged, with_workers
 
 BUCKET, BLOCK, FOCUS, HIGH = 2048, 1024, 3, 0.5
+#: Dimensions whose longest bucket is sent to all tasks (BUCKET vectors each); beyond them no score is fixed first.
+FIRST = 8
 LOW = np.iinfo(np.int64).min
 
 
 def quantized(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """vec_id, dim, norm2 and the packed integers floor(scale * x) of the vectors that take part."""
+    """vec_id, dim, norm2, the packed integers floor(scale * x) and a number for each row of the vectors that take part."""
     with_workers(vectors.sparkSession)
     src = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
@@ -53,21 +57,22 @@ def quantized(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
                     out.append(np.clip(a, -(2.0**53), 2.0**53).astype("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(a) for a in out], pa.int32()), pa.array([float((a.astype(np.float64) ** 2).sum()) for a in out], pa.float64()), pa.array([a.tobytes() for a in out], pa.binary())], names=["vec_id", "dim", "norm2", "v"])
 
-    return src.mapInArrow(run, "vec_id long, dim int, norm2 double, v binary")
+    return src.mapInArrow(run, "vec_id long, dim int, norm2 double, v binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows in their order, packed: dim, n, longest, first, ids, vs; a pack has one dimension."""
+    """Rows in their order, packed: dim, n, longest, first (row), rows, ids, vs; a pack has one dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def pack() -> pa.RecordBatch:
-            cols = [[held[0][1]], [len(held)], [max(r[2] for r in held) ** 0.5], [held[0][0]], [np.array([r[0] for r in held], "<i8").tobytes()], [b"".join(r[3] for r in held)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()))], names=["dim", "n", "longest", "first", "ids", "vs"])
+            cols = [[held[0][1]], [len(held)], [max(r[2] for r in held) ** 0.5], [held[0][4]], *([np.array([r[i] for r in held], "<i8").tobytes()] for i in (4, 0)), [b"".join(r[3] for r in held)]]
+            types = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["dim", "n", "longest", "first", "rows", "ids", "vs"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "norm2", "v"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "norm2", "v", "row"))):
                 if held and (len(held) >= size or held[0][1] != row[1]):
                     yield pack()
                     held = []
@@ -75,28 +80,34 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield pack()
 
-    return rows.mapInArrow(run, "dim int, n int, longest double, first long, ids binary, vs binary")
+    return rows.mapInArrow(run, "dim int, n int, longest double, first long, rows binary, ids binary, vs binary")
 
 
 class Pool:
-    """The best k of each query of a block so far."""
+    """The best k of each query row of a block so far; ``floors``: scores that k rows reach at least."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, rows: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None):
+        self.rows, self.q, self.k = rows, q, k
         self.norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-        self.best = np.full(len(ids), LOW)  # the k-th score, once there are k
-        self.row, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, row: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
-        other = vec != self.ids[row]
-        row, score, vec = (np.concatenate([a, b[other]]) for a, b in ((self.row, row), (self.score, score), (self.vec, vec)))
-        order = np.lexsort((vec, np.negative(score.astype(np.float64)), row)) if (np.abs(score) < 1 << 53).all() else np.lexsort((vec, ~score, row))
-        row, score, vec = row[order], score[order], vec[order]
-        starts = np.searchsorted(row, np.arange(len(self.ids)))
-        nth = np.arange(len(row)) - starts[row]
-        self.best[row[nth == self.k - 1]] = score[nth == self.k - 1]
+        self.best = np.full(len(rows), LOW) if floors is None else floors.copy()  # the k-th score, once it is known
+        self.at, self.score, self.vec, self.row = (np.zeros(0, np.int64) for _ in range(4))
+
+    def add(self, at: np.ndarray, score: np.ndarray, vec: np.ndarray, row: np.ndarray) -> None:
+        other = row != self.rows[at]
+        at, score, vec, row = (np.concatenate([a, b[other]]) for a, b in ((self.at, at), (self.score, score), (self.vec, vec), (self.row, row)))
+        order = np.lexsort((row, vec, np.negative(score.astype(np.float64)), at)) if (np.abs(score) < 1 << 53).all() else np.lexsort((row, vec, ~score, at))
+        at, score, vec, row = at[order], score[order], vec[order], row[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, np.arange(len(self.rows)))[at]
+        last = nth == self.k - 1
+        self.best[at[last]] = np.maximum(self.best[at[last]], score[last])
         keep = nth < self.k
-        self.row, self.score, self.vec = row[keep], score[keep], vec[keep]
+        self.at, self.score, self.vec, self.row = at[keep], score[keep], vec[keep], row[keep]
+
+    def need(self) -> float:
+        """The length that a vector must have to matter to any query of the block."""
+        if (self.best <= 0).any() or not (self.norm > 0).all():
+            return 0.0
+        return float((self.best / self.norm).min() * (1 - 1e-9))
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -109,7 +120,7 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(q.astype(object) @ c.astype(object).T, LOW + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
-def meet(pool: Pool, ids: np.ndarray, c: np.ndarray, longest: float) -> None:
+def meet(pool: Pool, rows: np.ndarray, ids: np.ndarray, c: np.ndarray, longest: float) -> None:
     """One bucket: prune by local thresholds, verify, and add to the pool."""
     norm = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
     open_ = pool.best == LOW
@@ -128,7 +139,7 @@ def meet(pool: Pool, ids: np.ndarray, c: np.ndarray, longest: float) -> None:
         else:
             floor = pool.best[by_length]
         r, x = np.nonzero(s >= floor[:, None])
-        found.append((by_length[r], s[r, x], ids[near][x]))
+        found.append((by_length[r], s[r, x], ids[near][x], rows[near][x]))
     if len(by_coordinate):
         unit = c / np.maximum(norm, 1e-300)[:, None]
         for i in by_coordinate:
@@ -148,9 +159,38 @@ def meet(pool: Pool, ids: np.ndarray, c: np.ndarray, longest: float) -> None:
             if len(at):
                 s = products(pool.q[i : i + 1], c[at])[0]
                 good = s >= pool.best[i]
-                found.append((np.full(int(good.sum()), i), s[good], ids[at][good]))
+                found.append((np.full(int(good.sum()), i), s[good], ids[at][good], rows[at][good]))
     if found:
-        pool.add(*(np.concatenate([f[j] for f in found]) for j in range(3)))
+        pool.add(*(np.concatenate([f[j] for f in found]) for j in range(4)))
+
+
+def _arrays(r: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(r[f"{prefix}rows"], "<i8"), np.frombuffer(r[f"{prefix}ids"], "<i8"), np.frombuffer(r[f"{prefix}vs"], "<i8").reshape(-1, r["dim"])
+
+
+def with_floors(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """Query blocks with ``floors`` (the k-th score of each query among the longest bucket's vectors) and ``need``."""
+    none = queries.withColumn("floors", F.lit(None).cast("binary")).withColumn("need", F.lit(0.0))
+    if buckets.select("dim").distinct().limit(FIRST + 1).count() > FIRST:
+        return none
+    longest = buckets.groupBy("dim").agg(F.max_by(F.struct("rows", "ids", "vs", "longest"), F.struct("longest", "first")).alias("x"))
+    top = F.broadcast(longest.select("dim", *(F.col(f"x.{c}").alias(f"c_{c}") for c in ("rows", "ids", "vs", "longest"))))  # at most FIRST buckets
+    names = [*queries.columns, "floors", "need"]
+    shape = T.StructType([*queries.schema.fields, T.StructField("floors", T.BinaryType()), T.StructField("need", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floors, needs = [], []
+            for r in batch.to_pylist():
+                rows, _, q = _arrays(r, "")
+                pool = Pool(rows, q, k)
+                c_rows, c_ids, c = _arrays(r, "c_")
+                meet(pool, c_rows, c_ids, c, r["c_longest"])
+                floors.append(pool.best.astype("<i8").tobytes())
+                needs.append(pool.need())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(floors, pa.binary()), pa.array(needs, pa.float64())], names=names)
+
+    return queries.join(top, "dim").select(*queries.columns, "c_rows", "c_ids", "c_vs", "c_longest").mapInArrow(run, shape)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
@@ -159,28 +199,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     buckets = staged(packed(rows.repartitionByRange("dim", F.desc("norm2"), "vec_id").sortWithinPartitions("dim", F.desc("norm2"), "vec_id"), bucket), "topk-buckets")
     n = buckets.count()
     groups = max(1, min(n, max(12, n // 32)))
-    queries = packed(rows.where(is_query).repartitionByRange("dim", "vec_id").sortWithinPartitions("dim", "vec_id"), block)
-    c = buckets.select(F.pmod(F.xxhash64("dim", "longest", "first"), F.lit(groups)).alias("g"), F.col("dim").alias("c_dim"), "longest", F.col("ids").alias("c_ids"), F.col("vs").alias("c_vs"))
-    q = queries.select("dim", F.col("first").alias("block"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("of"))
-    pairs = q.join(c.hint("shuffle_hash"), (F.col("of") == F.col("g")) & (F.col("dim") == F.col("c_dim"))).select("dim", "block", "of", "q_ids", "q_vs", "longest", "c_ids", "c_vs")
+    blocks = packed(rows.where(is_query).repartitionByRange("dim", "vec_id").sortWithinPartitions("dim", "vec_id"), block)
+    queries = staged(with_floors(blocks, buckets, k), "topk-queries")
+    c = buckets.select(F.pmod(F.xxhash64("dim", "longest", "first"), F.lit(groups)).alias("g"), F.col("dim").alias("c_dim"), "longest", *(F.col(x).alias(f"c_{x}") for x in ("rows", "ids", "vs")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    q = queries.select("dim", F.col("first").alias("block"), "rows", "ids", "vs", "floors", "need", every.alias("of"))
+    met = (F.col("of") == F.col("g")) & (F.col("dim") == F.col("c_dim")) & (F.col("longest") >= F.col("need"))
+    pairs = q.join(c.hint("shuffle_hash"), met).select("dim", "block", "of", "rows", "ids", "vs", "floors", "longest", "c_rows", "c_ids", "c_vs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, at = None, None
+        pool, at, own = None, None, None
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pool.ids[pool.row]), pa.array(pool.vec), pa.array(pool.score)], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(pool.rows[pool.at]), pa.array(own[pool.at]), pa.array(pool.vec), pa.array(pool.row), pa.array(pool.score)], names=["query_row", "query_id", "vec_id", "row", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if at != (r["dim"], r["block"], r["of"], r["q_ids"]):
+                if at != (r["dim"], r["block"], r["of"]):
                     if pool is not None:
                         yield out()
-                    at = (r["dim"], r["block"], r["of"], r["q_ids"])
-                    pool = Pool(np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vs"], "<i8").reshape(-1, r["dim"]), k)
-                meet(pool, np.frombuffer(r["c_ids"], "<i8"), np.frombuffer(r["c_vs"], "<i8").reshape(-1, r["dim"]), r["longest"])
+                    at = (r["dim"], r["block"], r["of"])
+                    q_rows, own, qv = _arrays(r, "")
+                    pool = Pool(q_rows, qv, k, None if r["floors"] is None else np.frombuffer(r["floors"], "<i8").astype(np.int64))
+                c_rows, c_ids, cv = _arrays(r, "c_")
+                meet(pool, c_rows, c_ids, cv, r["longest"])
         if pool is not None:
             yield out()
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = pairs.mapInArrow(run, "query_row long, query_id long, vec_id long, row long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
