@@ -150,6 +150,22 @@ def test_mixed_texts(spark):
     assert {r.doc_id: r.w for r in got} == {d: t for (d, _), (_, t) in taken.items() if t}
 
 
+def test_mixed_texts_take_each_row_by_itself(spark):
+    # Equal ids and texts under two sources; the rows of each source come as that source's.
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words, "A", "en", 1), (1, words, "B", "de", 1), (2, "x y z", "B", "de", 1), (None, None, "B", "de", 1)], "doc_id long, text string, source string, own string, n_chars int")
+    taken = Counter({r.s: 0 for r in mixing.mix(docs)[0].collect()})
+    for r in mixing.mix(docs)[0].collect():
+        taken[r.s] += r.taken
+    got = mixing.mixed_texts(docs).collect()
+    n = Counter()
+    for r in got:
+        assert r.own == {"A": "en", "B": "de"}[r.source] and r.n_chars == len(r.text)
+        n[r.source] += len(r.text.split())
+    assert dict(n) == {"A": taken[0], "B": taken[1]}
+    assert mixing.mixed_texts(docs.limit(0)).count() == 0
+
+
 # -- personal data ---------------------------------------------------------------------------------
 def plain_base(t):
     t, out = t or "", []
@@ -198,6 +214,64 @@ def test_pii_discoveries_support_new_patterns(spark):
     assert sum(len(r.spans) for r in pii.find(spark.createDataFrame(list(enumerate(few)), "doc_id long, text string"), confident=0.8).collect()) == 4
 
 
+def plain_patterns(edges, rounds, support):
+    """(context, kind) -> confidence after the last round, over edges (context, value, kind or '')."""
+    contexts, kinds = {c for c, _, _ in edges}, [*pii.KINDS, "secret"]
+    scores, trusted = {}, {}
+    for _ in range(rounds):
+        trusted = {}
+        for c in contexts:
+            own = {(v, k) for x, v, k in edges if x == c}
+            for kind in kinds:
+                backed = sum(k == kind for _, k in own) + sum(scores.get((v, kind), 0.0) for v, k in own if k == "")
+                if backed >= support and backed / len(own) >= 0.45:
+                    trusted[c, kind] = backed / len(own)
+        scores = {}
+        for v in {v for _, v, k in edges if k == ""}:
+            for kind in kinds:
+                miss = 1.0
+                for c in {c for c, x, k in edges if x == v and k == ""}:
+                    if (c, kind) in trusted:
+                        miss *= 1 - min(trusted[c, kind], 0.999)
+                if miss < 1:
+                    scores[v, kind] = 1 - miss
+    return trusted
+
+
+def test_pii_scores_against_brute_force(spark):
+    rnd = random.Random(9)
+    edges = {(f"ctx{rnd.randrange(6)} a", f"v{rnd.randrange(25)}", rnd.choice(["email", "email", "phone", "", ""])) for _ in range(220)}
+    edges |= {("key b", f"{i:02d}abcdefghij0123456789", "") for i in range(8)}
+    rows = [(i, k, 0, 1, v, c) for i, (c, v, k) in enumerate(sorted(edges))]
+    df = spark.createDataFrame(rows, "row long, kind string, start long, end long, value string, context string")
+    got = pii.confident_patterns(df.where("kind <> ''"), df.where("kind = ''"), rounds=3, support=3, confident=0.9)
+    want = plain_patterns([(c, v, "secret" if c == "key b" else k) for c, v, k in edges], 3, 3)
+    found = got.collect()
+    assert ("key b", "secret") in {(r.context, r.kind) for r in found}
+    best = defaultdict(lambda: (0.0, ""))
+    for (c, k), x in want.items():
+        best[c] = max(best[c], (x, k))
+    assert {r.context: pytest.approx(r.confidence) for r in found} == {c: x for c, (x, _) in best.items() if x >= 0.9}
+
+
+def test_pii_secrets_come_by_pattern_only(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [f'words here token = "{key(i)}" and' for i in range(9)] + ['words here token = "short7" and', f"a lone {key(77)} hash"]
+    got = [r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all([(s.kind, s.start, s.end, s.seed) for s in x] == [("secret", 20, 60, False)] for x in got[:9])
+    assert [(s.kind, s.start, s.end) for s in got[9]] == [("secret", 20, 26)] and got[10] == []
+    grouped = [f"call home on: +1 (555) 555-12{i:02d} now" for i in range(30)] + ["call home on: 555 123 4567 now"]
+    got = [r.spans for r in pii.find(spark.createDataFrame(list(enumerate(grouped)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [(s.kind, s.start, s.end) for s in got[-1]] == [("phone", 14, 26)]
+
+
+def test_pii_query_digest(spark):
+    rows = {r.doc_id: r.text for r in documents(spark).select("doc_id", "text").collect()}
+    for r in queries.op4_pii(spark, SF).collect():
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_base(rows[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.n_spans >= r.n_email + r.n_ip + r.n_card + r.n_phone
+
+
 # -- chat ------------------------------------------------------------------------------------------
 def test_chat(spark):
     shape = "pair_id long, turn long, role string, text string"
@@ -232,6 +306,19 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_counts_repeated_ids_as_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 30, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((60, 6)))]  # each id twice
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7, bucket=8, block=3).collect()
+    ints = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = Counter()
+    for n, (q, v) in enumerate(ints):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(ints) if m != n)[:7]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(map(tuple, got)) == want
+
+
 # -- tokenizer --------------------------------------------------------------------------------------
 def test_bpe_equals_tiktoken(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -397,6 +484,27 @@ def test_digest_shapes(spark):
     assert len(row.base_sha256) == 64 and isinstance(row.n_email, int) and hashlib.sha256(b"").hexdigest()
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, row string, own string, fp long, `a b.c` int"
+    family = "one two three four five six seven eight nine ten"
+    rows = [(*r, "r", "o", 5, 1) for r in ODD if r[0] != 7] + [(i, family, "en", "a", 9, "r", "o", 5, 1) for i in (20, 21, None)] + [(None, "nobody has an id " + family, "en", "a", 9, "r", "o", 5, 1)] * 2
+    docs = spark.createDataFrame(rows, names)
+    kept = cp.drop_near_copies(spark, docs, SF).collect()
+    assert [r.doc_id for r in kept if r.text == family] == [20] and len([r for r in kept if r.doc_id is None and r.text.startswith("nobody")]) == 2
+    assert {r.doc_id for r in kept if not (r.text or "").strip()} == {1}  # null, empty and blank texts are one group
+    cut = {r.doc_id: r.text for r in cp.drop_lines(spark, docs.where("doc_id < 20"), SF).collect()}
+    assert cut[1] is None and cut[2] == "" and cut[5] == ""
+    for frame in (docs, docs.limit(0)):
+        out = frame
+        for name, stage in cp.STAGES:
+            out = stage(spark, out, SF)
+            assert name == "byte_bpe" or out.columns == docs.columns
+            out = spark.createDataFrame(out.collect(), out.schema)
+        assert (out.count() > 0) == (frame is docs)
+
+
 def test_pipeline_against_plain_steps(spark):
     import corpus_pipeline as cp
 
