@@ -41,6 +41,15 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit("second half"), key)
 
 
+def _document(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST)).alias("d")
+
+
+def _same(text: Column) -> Column:
+    """Tells rows that repeat a ``doc_id`` apart: of equal texts the same lines go."""
+    return F.xxhash64(text).alias("same")
+
+
 class LineIndex:
     """The levelled runs. ``buckets`` is fixed over an index's life."""
 
@@ -93,11 +102,11 @@ class LineIndex:
 
 
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """A row for each line that can be dropped: its document, hash and place (from 0)."""
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
-    keys = lines.select("d", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    """A row for each line that can be dropped: its document, the text's hash, its place (from 0) and hash."""
+    lines = docs.select(_document(F.col("doc_id")), _same(F.col("text")), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
+    keys = lines.select("d", "same", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     h1, h2 = _hashes(F.col("key"))
-    return keys.select("d", "place", h1.alias("h1"), h2.alias("h2"))
+    return keys.select("d", "same", "place", h1.alias("h1"), h2.alias("h2"))
 
 
 def dedup(docs: DataFrame, batches: int = 4, min_chars: int = MIN_CHARS, fan_out: int = 3) -> DataFrame:
@@ -106,8 +115,7 @@ def dedup(docs: DataFrame, batches: int = 4, min_chars: int = MIN_CHARS, fan_out
     The documents go through the index in ``batches`` ranges of ``doc_id`` of about equal size.
     """
     spark = docs.sparkSession
-    keys = (keyed_lines(docs, min_chars).groupBy("h1", "h2", "d").agg(F.lit(1).alias("one"))).select("d", "h1", "h2")
-    keys = staged(keys, "line-keys")
+    keys = staged(keyed_lines(docs, min_chars), "line-keys")
     index = LineIndex(spark, fan_out=fan_out)
     inner = F.array(F.lit(0.0), *(F.lit(i / batches) for i in range(1, batches)))
     cuts = keys.agg(F.percentile_approx("d", inner, F.lit(1000)).alias("x")).first().x or [0]
@@ -120,17 +128,15 @@ def dedup(docs: DataFrame, batches: int = 4, min_chars: int = MIN_CHARS, fan_out
             batch = batch.where(F.col("d") < high)
         index.add(batch.groupBy("h1", "h2").agg(F.min("d").alias("first_doc")))
     # A key's first document keeps it; the others of the documents that hold it drop it.
-    late = keys.join(index.first().hint("merge"), ["h1", "h2"]).where(F.col("d") > F.col("first_doc")).select("d", "h1", "h2")
-    drops = staged(late.groupBy("d").agg(F.collect_set(F.struct("h1", "h2")).alias("drops")), "line-drops")
+    late = keys.join(index.first().hint("merge"), ["h1", "h2"]).where(F.col("d") > F.col("first_doc"))
+    # A set: rows that repeat an id and a text name the same places, so it is no larger than the text.
+    drops = staged(late.groupBy("d", "same").agg(F.collect_set("place").alias("drops")), "line-drops")
     index.close()
     own = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
-    joined = left.join(drops.hint("shuffle_hash"), "d", "left").select("row", F.split(F.coalesce("row.text", F.lit("")), "\n").alias("lines"), "drops")
-
-    def stays(line: Column) -> Column:
-        h1, h2 = _hashes(line_key(line))
-        return ~((F.length(line_key(line)) >= min_chars) & F.array_contains("drops", F.struct(h1.alias("h1"), h2.alias("h2"))))
-
-    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    left = docs.select(F.struct(*own).alias("row"), _document(F.col("doc_id")), _same(F.col("text")))
+    joined = left.join(drops.hint("shuffle_hash"), ["d", "same"], "left").select("row", F.split(F.coalesce("row.text", F.lit("")), "\n").alias("lines"), "drops")
+    # Set difference by hashing, in the order of the places: linear in the lines, however many are dropped.
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
+    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i)))
     done = joined.select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return done.select("row", F.array_join("kept", "\n").alias("new_text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))

@@ -62,6 +62,14 @@ def test_line_dedup(spark, batches):
     assert line_dedup.dedup(odd(spark, [])).count() == 0
 
 
+def test_line_dedup_of_a_text_with_very_many_dropped_lines(spark):
+    shared = [f"a line that two documents share {i}" for i in range(60_000)]
+    mine = [x for i, s in enumerate(shared) for x in (s, f"own {i % 7}")]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(mine)), (2, "\n".join(mine)), (2, "another text of the same id\n" + shared[0])]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_lines", "n_dropped", "new_text").collect()
+    assert sorted(map(tuple, got), key=str) == plain_dedup(rows)
+
+
 # -- simhash -------------------------------------------------------------------------------------
 def plain_simhash(rows, radius=4):
     fps = []
