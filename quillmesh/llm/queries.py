@@ -22,7 +22,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
-    return language.predict(docs, *language.train(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, language.train(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
