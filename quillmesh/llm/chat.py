@@ -9,7 +9,8 @@ Defined cases: turns are ordered by (turn, role, text), nulls first; a null role
 as an empty one and equals null only; repeated turns all stay; a pair that has one side only gets
 an empty prompt and an empty completion for the other side; a pair whose sides are equal has
 empty completions; ``usable`` says that the completions differ and both hold something to learn;
-rows with a null pair id stand together as one pair; an empty table gives an empty result; other
+a turn with a null pair id belongs to no conversation and stands alone, as a pair that has one side and
+one turn, so that however many there are they never meet in one row; an empty table gives an empty result; other
 columns, whatever their names, are not read.
 """
 
@@ -38,7 +39,9 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     chosen, chosen_mask, rejected, rejected_mask, usable."""
     side = lambda df, k: df.select("pair_id", F.lit(k).alias("side"), "turn", "role", "text")
     both = side(chosen, 0).unionByName(side(rejected, 1))
-    grouped = both.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("all"))
+    entry = F.struct("side", "turn", "role", "text")
+    grouped = both.where("pair_id is not null").groupBy("pair_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    grouped = grouped.unionByName(both.where("pair_id is null").select("pair_id", F.array(entry).alias("all")))
     of = lambda k: F.transform(F.filter("all", lambda t: t["side"] == k), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     sides = grouped.select("pair_id", of(0).alias("c"), of(1).alias("r"))
     differs = F.array_position(F.zip_with("c", "r", lambda x, y: x.eqNullSafe(y)), False)
