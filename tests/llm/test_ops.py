@@ -294,6 +294,23 @@ def test_chat(spark):
     assert chat.format_pairs(c.limit(0), r.limit(0)).count() == 0
 
 
+def test_chat_odd_rows(spark):
+    """Turns without a pair id stand alone, repeated turns stay, long texts come whole, other columns are not read."""
+    shape = "pair_id long, turn long, role string, text string, side string, all int, p string, n string"
+    extra = lambda rows: spark.createDataFrame([(*r, "s", 1, "p", "n") for r in rows], shape)
+    long_text = "wörd " * 200_000
+    c = extra([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, None, None, None), (1, 0, "user", "u"), (1, 0, "user", "u"), (1, None, "assistant", long_text)])
+    r = extra([(None, 1, "assistant", "b"), (1, 0, "user", "u"), (1, 0, "user", "u"), (1, None, "assistant", long_text + "!")])
+    rows = chat.format_pairs(c, r).collect()
+    show = lambda role, t: f"<|im_start|>{role}\n{t}<|im_end|>\n"
+    alone = sorted((x.chosen, x.rejected, x.prompt, x.prompt_turns) for x in rows if x.pair_id is None)
+    assert alone == sorted([(show("user", "a"), "", "", 0)] * 2 + [(show("", ""), "", "", 0), ("", show("assistant", "b"), "", 0)])
+    (one,) = [x for x in rows if x.pair_id == 1]
+    tail = show("user", "u") * 2
+    assert (one.prompt, one.chosen, one.rejected, one.usable) == ("", show("assistant", long_text) + tail, show("assistant", long_text + "!") + tail, True)
+    assert all(sum(m.length for m in x.chosen_mask) == len(x.chosen) for x in rows)
+
+
 # -- top-k -----------------------------------------------------------------------------------------
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(2)
@@ -355,10 +372,56 @@ def test_bpe_joins_equal_plain_merges():
 def test_language(spark):
     got = queries.op7_language(spark, SF).join(documents(spark).select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("x")).first()
     assert got.x >= 0.95
-    langs, protos = language.train(odd(spark), F.lit(True))
-    rows = language.predict(odd(spark), langs, protos).collect()
+    rows = language.predict(odd(spark), language.train(odd(spark), F.lit(True))).collect()
     assert {r.doc_id: r.lang_pred for r in rows}[1] == "und" and {r.doc_id: r.lang_pred for r in rows}[9] == "und" and len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
-    assert {r.lang_pred for r in language.predict(odd(spark), *language.train(odd(spark, []), F.lit(True))).collect()} == {"und"}
+    assert {r.lang_pred for r in language.predict(odd(spark), language.train(odd(spark, []), F.lit(True))).collect()} == {"und"}
+
+
+def plain_language(rows, learn):
+    """Predictions made letter by letter from the permuted letter vectors."""
+    place = [np.array(x, np.int64) for x in language.letters(language.DIM, language.SEED)]
+
+    def vector(text):
+        sym = [0, *(int(language.symbols()[ord(c)]) for c in text or ""), 0]
+        out, n = np.zeros(language.DIM, np.int64), 0
+        for i in range(1, len(sym) - 1):
+            if sym[i]:
+                out, n = out + place[0][sym[i - 1]] * place[1][sym[i]] * place[2][sym[i + 1]], n + 1
+        return out, n
+
+    protos = {}
+    for _, text, lang in learn:
+        if text is not None and lang is not None:
+            protos[lang] = protos.get(lang, 0) + vector(text)[0]
+    norm = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    out = []
+    for d, text, _ in rows:
+        v, n = vector(text)
+        cos = [(-float(norm(v) @ norm(p)), x) for x, p in sorted(protos.items())]
+        out.append((d, *((min(cos)[1], min(1.0, max(0.0, -min(cos)[0]))) if n and cos else ("und", 0.0))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_language_against_plain_vectors_in_blocks_of_languages(spark, block):
+    """Clashing names, repeated ids, equal prototypes (a tie goes to the first), texts longer than a piece."""
+    learn = [(1, "the cat sat on the mat", "en"), (2, "die katze saß auf der matte", "de"), (3, "le chat était sur le tapis", "fr"), (4, "the cat sat on the mat", "zz"), (5, None, "en"), (6, "text", None)]
+    ask = [(1, "the mat", "x"), (1, "auf der", None), (None, "le tapis", "en"), (3, None, "en"), (4, "", "en"), (5, "123 !?", "en"), (6, "ß é", "de"), (7, "the cat " * 40, "de")]
+    shape = "doc_id long, text string, lang string"
+    extra = lambda rows: spark.createDataFrame(rows, shape).withColumns({"cos": F.lit("c"), "lang_pred": F.lit(1), "score": F.lit("s"), "vec": F.lit(0)})
+    got = language.predict(extra(ask), language.train(extra(learn), F.lit(True)), block=block).collect()
+    want = plain_language(ask, learn)
+    assert [(d, x) for d, x, _ in sorted(map(tuple, got), key=str)] == [(d, x) for d, x, _ in want]
+    assert np.allclose([r.score for r in sorted(got, key=lambda r: str(tuple(r)))], [x for *_, x in want])
+    assert language.predict(extra(ask).limit(0), language.train(extra(learn), F.lit(True))).count() == 0
+
+
+def test_language_pieces_lose_no_gram():
+    texts = ["", "a", "ab c", "the quick  brown\nfox" * 7, "x"]
+    whole, own = language.grams_of(texts)
+    for most in (1, 2, 3, 10, 1000):
+        got = [(int(rows[o]), int(g)) for cut, rows in language.pieces(texts, most) for g, o in zip(*language.grams_of(cut, context=True))]
+        assert sorted(got) == sorted(zip(own.tolist(), whole.tolist()))
 
 
 def test_language_vectors_are_bundles():
