@@ -22,6 +22,8 @@ differ are taken for one with a chance below 1e-14 at 1e12 keys.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,24 @@ def _same(text: Column) -> Column:
     return F.xxhash64(text).alias("same")
 
 
+#: Scans of runs report their order (each bucket is one sorted file), so that joins merge them without
+#: sorting them again; and no anti-join is pushed below the aggregation of a batch, which would send
+#: every copy of a frequent line to one task.
+MERGE_SETTINGS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+@contextmanager
+def merging(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in MERGE_SETTINGS}
+    for k, v in MERGE_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class LineIndex:
     """The levelled runs. ``buckets`` is fixed over an index's life."""
 
@@ -70,10 +90,15 @@ class LineIndex:
 
     def add(self, keys: DataFrame) -> None:
         """``keys`` (h1, h2, first_doc), one row per key: adds those that no run holds."""
-        fresh = keys
+        with merging(self.spark):
+            run = self._write(self.fresh(keys))
+        self._put(run, 0)
+
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """The batch's keys, sorted once, merge-anti-joined with each sorted run in turn."""
         for name in self.runs():
-            fresh = fresh.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._put(self._write(fresh), 0)
+            keys = keys.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
 
     def _put(self, run: str, level: int) -> None:
         while len(self.levels) <= level:
