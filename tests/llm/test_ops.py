@@ -70,6 +70,23 @@ def test_line_dedup_of_a_text_with_very_many_dropped_lines(spark):
     assert sorted(map(tuple, got), key=str) == plain_dedup(rows)
 
 
+def test_line_runs_are_merged_in_their_order(spark):
+    """Only the batch is sorted, after its aggregation; settings return to what they were."""
+    keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), F.col("id").alias("first_doc"))
+    before = {k: spark.conf.get(k) for k in line_dedup.MERGE_SETTINGS}
+    index = line_dedup.LineIndex(spark, 4)
+    for a in (0, 50):
+        index.add(keys(a, a + 100))
+    with line_dedup.merging(spark):
+        fresh = index.fresh(keys(0, 200).union(keys(0, 200)).groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc")))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.first_doc for r in fresh.collect()) == list(range(150, 200))
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1 and plan.index("Sort [") < plan.index("HashAggregate")
+    assert sorted(r.first_doc for r in index.first().collect()) == list(range(150))
+    assert before == {k: spark.conf.get(k) for k in line_dedup.MERGE_SETTINGS}
+    index.close()
+
+
 # -- simhash -------------------------------------------------------------------------------------
 def plain_simhash(rows, radius=4):
     fps = []
