@@ -32,7 +32,7 @@ from .base import slices, staged, texts_of, with_workers
 
 DIM, SYMBOLS, N, SEED = 1024, 64, 3, 11
 #: Languages that meet the texts at a time, characters of a piece, n-grams of a matrix product.
-LANGS, PIECE, WIDTH = 1000, 1 << 20, 4096
+LANGS, PIECE, WIDTH = 1000, 1 << 20, 8192
 _WORKER: dict = {}  # tables of fixed size: 1 MB of symbols, 200 kB of letters
 
 
@@ -84,7 +84,7 @@ def grams_of(texts: list[str], context: bool = False) -> tuple[np.ndarray, np.nd
     grams = np.zeros(len(at), np.int64)
     for k in range(N):  # N = 3: what stands next to a letter is a letter or the border of its word
         grams = grams * SYMBOLS + sym[at + k - N // 2]
-    return grams, np.searchsorted(ends, at, side="right")
+    return grams, np.repeat(np.arange(len(texts)), lengths)[at]
 
 
 def pieces(texts: Iterable[str], most: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -114,10 +114,11 @@ def bundle(grams: np.ndarray, owner: np.ndarray, n: int, dim: int, seed: int) ->
     place = np.zeros(SYMBOLS**N, np.int64)
     place[present] = np.arange(len(present))
     at = place[grams]
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
+    if len(present) > WIDTH:
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
     for i in range(0, len(present), WIDTH):
-        low, high = np.searchsorted(at, (i, i + WIDTH))
+        low, high = np.searchsorted(at, (i, i + WIDTH)) if len(present) > WIDTH else (0, len(at))
         block = present[i : i + WIDTH]
         counts = np.bincount(owner[low:high] * len(block) + at[low:high] - i, minlength=n * len(block)).reshape(n, -1)
         out += counts.astype(np.float32) @ bind(block, dim, seed).astype(np.float32)  # whole numbers below 2**24: exact
